@@ -115,13 +115,27 @@ def summary_lines(messages: DataFrame, manifest: DataFrame, counts: DataFrame,
     cover = summary_coverage(messages, counts, findings)
     n = F.col("n").cast("string")
 
-    cover_rows = cover.select(F.posexplode(F.array(
-        F.concat(F.lit("- Distinct messages: "), F.col("distinct_messages").cast("string")),
-        F.concat(F.lit("- Classified: "), F.col("classified").cast("string"), F.lit(" ("),
-                 _percent(F.col("classified"), F.col("distinct_messages")), F.lit("%)")),
-        F.concat(F.lit("- Unclassified: "), F.col("unclassified").cast("string")),
-        F.concat(F.lit("- Open audit findings: "), F.col("open_findings").cast("string")),
-    )).alias("pos", "text"))
+    def cover_line(section: int, pos: int, text: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.lit(pos).alias("pos"), text.alias("text"))
+
+    rest = F.when(F.col("unclassified") > 0, F.concat(
+        F.lit("- …plus "), F.col("unclassified").cast("string"),
+        F.lit(" unclassified message(s) to triage"),
+    ))
+    cover_rows = cover.select(F.inline(F.array(
+        cover_line(1, 0, F.concat(F.lit("- Distinct messages: "),
+                                  F.col("distinct_messages").cast("string"))),
+        cover_line(1, 1, F.concat(
+            F.lit("- Classified: "), F.col("classified").cast("string"), F.lit(" ("),
+            _percent(F.col("classified"), F.col("distinct_messages")), F.lit("%)"))),
+        cover_line(1, 2, F.concat(F.lit("- Unclassified: "), F.col("unclassified").cast("string"))),
+        cover_line(1, 3, F.concat(F.lit("- Open audit findings: "),
+                                  F.col("open_findings").cast("string"))),
+        cover_line(10, 0, rest),
+    ))).filter("text IS NOT NULL").select(
+        "section", F.lit("").alias("k1"), F.col("pos").cast("bigint").alias("k2"),
+        F.col("text").alias("line"),
+    )
 
     methods = counts.groupBy("method").agg(F.sum("n").alias("n")).withColumn(
         "total", F.sum("n").over(Window.partitionBy())
@@ -135,14 +149,13 @@ def summary_lines(messages: DataFrame, manifest: DataFrame, counts: DataFrame,
         F.lit("- ["), F.format_string("%.2f", "confidence"), F.lit("] "), F.col("tag"),
         F.lit(" — "), F.col("from_addr"), F.lit(": "), F.left("subject", F.lit(60)),
     )
-    rest = cover.filter("unclassified > 0")
 
     parts = [
         _fixed_lines(spark, 0, [
             "# Inbox summary", "", f"_Taxonomy {taxonomy.version} ({taxonomy.content_hash})_",
             "", "## Coverage",
         ]),
-        _rows(cover_rows, 1, F.lit(""), F.col("pos"), F.col("text")),
+        cover_rows,
         _fixed_lines(spark, 2, ["", "## Tag distribution"]),
         _rows(tag_distribution(counts), 3, F.lit(""), -F.col("n"),
               F.concat(F.lit("- "), F.col("tag"), F.lit(": "), n)),
@@ -156,9 +169,6 @@ def summary_lines(messages: DataFrame, manifest: DataFrame, counts: DataFrame,
               F.concat(F.lit("- "), F.col("from_addr"), F.lit(": "), n)),
         _fixed_lines(spark, 8, ["", "## Needs review (lowest-confidence LLM calls)"]),
         _rows(low, 9, F.lit(""), F.col("pos"), low_line),
-        _rows(rest, 10, F.lit(""), F.lit(0),
-              F.concat(F.lit("- …plus "), F.col("unclassified").cast("string"),
-                       F.lit(" unclassified message(s) to triage"))),
     ]
     page = parts[0]
     for part in parts[1:]:

@@ -6,18 +6,16 @@ Everything is derived from the tables, so it grows with them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from mailloom.functions.text import comma_list, domain_of
 from mailloom.operators.intake import dedup_messages, index_messages
+from mailloom.schemas import struct
 from mailloom.session import settled
 from mailloom.taxonomy import Taxonomy, load_taxonomy
 
 TAXONOMY: Taxonomy = load_taxonomy()
 FOLDERS = ["INBOX", "Archive", "Lists"]
-DOCUMENTS = StructType.fromDDL(
-    "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
-)
+DOCUMENTS = struct("doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
 
 # Expressions that read alike in both engines but for the two marked types.
 MAIL = {

@@ -52,10 +52,10 @@ def ingest_indexed(spark: SparkSession, state: State, rows: DataFrame, run_ts: d
     if folders:
         rows = rows.filter(F.col("folder").isin(folders))
     now = _stamp(run_ts)
+    cursor = tables.read_cursor(spark, state)
     # One row per folder; all later steps read it back.
-    cursor = settled(tables.read_cursor(spark, state))
     generations = settled(intake.current_generations(rows, cursor, now))
-    rolled = settled(intake.rolled_over(generations, cursor))
+    rolled = intake.rolled_over(generations, cursor)
     stored = tables.read_messages(spark, state)
     kept = intake.drop_folders(stored, rolled)
     current = rows.join(generations, ["folder", "uidvalidity"], "left_semi")

@@ -50,6 +50,14 @@ def _plain(df: DataFrame) -> DataFrame:
     return _text_lists(_text_dates(df))
 
 
+SENDER_COLUMNS = [*KEY, "from_addr", "from_domain", "subject", "date", "keyword_hint"]
+
+
+def _for_senders(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns of the message table that sender queries read, in two passes."""
+    return settled(fx.messages(spark, sf).select(*SENDER_COLUMNS))
+
+
 def _log(spark: SparkSession, sf: str) -> DataFrame:
     return fx.classifications(spark, sf)
 
@@ -247,7 +255,7 @@ def _subjects(df: DataFrame) -> DataFrame:
 
 @query
 def sender_profiles(spark, sf):
-    return _subjects(senders.sender_profiles(fx.messages(spark, sf)))
+    return _subjects(senders.sender_profiles(_for_senders(spark, sf)))
 
 
 @query
@@ -267,22 +275,22 @@ def sender_span(spark, sf):
 
 @query
 def top_senders(spark, sf):
-    return _subjects(senders.top_senders(fx.messages(spark, sf)))
+    return _subjects(senders.top_senders(_for_senders(spark, sf)))
 
 
 @query
 def senders_matching(spark, sf):
-    return _subjects(senders.senders_matching(fx.messages(spark, sf), "U3@SRC1"))
+    return _subjects(senders.senders_matching(_for_senders(spark, sf), "U3@SRC1"))
 
 
 @query
 def domain_rollup(spark, sf):
-    return senders.domain_rollup(senders.top_senders(fx.messages(spark, sf), 50))
+    return senders.domain_rollup(senders.top_senders(_for_senders(spark, sf), 50))
 
 
 @query
 def sender_report_lines(spark, sf):
-    top = senders.top_senders(fx.messages(spark, sf), 20)
+    top = senders.top_senders(_for_senders(spark, sf), 20)
     return reports.sender_report_lines(top, TAX.version, 20)
 
 
@@ -290,7 +298,7 @@ def sender_report_lines(spark, sf):
 
 
 def _queue(spark: SparkSession, sf: str, sender: str | None = None) -> DataFrame:
-    queue = review.review_queue(fx.messages(spark, sf), fx.rules(spark, sf),
+    queue = review.review_queue(_for_senders(spark, sf), fx.rules(spark, sf),
                                 fx.deferrals(spark, sf), sender=sender)
     return _text_lists(queue, " ; ")
 
@@ -330,7 +338,7 @@ def queue_sort_by(spark, sf):
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    queue = review.queue_items(senders.sender_profiles(fx.messages(spark, sf)))
+    queue = review.queue_items(senders.sender_profiles(_for_senders(spark, sf)))
     return deciding.judge_decisions(fx.decisions(spark, sf), queue, TAX)
 
 
@@ -462,7 +470,7 @@ def classify_rules(spark, sf):
 
 @query
 def classify_metrics(spark, sf):
-    return classes.classify_metrics(fx.messages(spark, sf), fx.rules(spark, sf), _log(spark, sf), TAX)
+    return classes.classify_metrics(_for_senders(spark, sf), fx.rules(spark, sf), _log(spark, sf), TAX)
 
 
 @query
@@ -538,14 +546,17 @@ def lowest_confidence(spark, sf):
 
 @query
 def summary_coverage(spark, sf):
+    messages, log = settled(fx.messages(spark, sf)), settled(_log(spark, sf))
+    counts = summary.tag_method_sender(classes.manifest(messages, log, TAX.content_hash))
     return summary.summary_coverage(
-        fx.messages(spark, sf), _counts(spark, sf), _findings(spark, sf)
+        messages, counts, audits.audit(messages, log, TAX)
     ).withColumn("percent", F.round("percent", 6))
 
 
 @query
 def status_coverage(spark, sf):
-    return summary.status_coverage(fx.messages(spark, sf), _log(spark, sf)).withColumn(
+    ids = settled(fx.messages(spark, sf).select("message_id"))
+    return summary.status_coverage(ids, _log(spark, sf)).withColumn(
         "percent", F.round("percent", 6))
 
 
@@ -557,9 +568,10 @@ def folder_status(spark, sf):
 
 @query
 def summary_lines(spark, sf):
-    rows = _manifest(spark, sf)
+    messages, log = settled(fx.messages(spark, sf)), settled(_log(spark, sf))
+    rows = classes.manifest(messages, log, TAX.content_hash)
     counts = settled(summary.tag_method_sender(rows))
-    return reports.summary_lines(fx.messages(spark, sf), rows, counts, _findings(spark, sf), TAX)
+    return reports.summary_lines(messages, rows, counts, audits.audit(messages, log, TAX), TAX)
 
 
 # --- model path -----------------------------------------------------------------------------------

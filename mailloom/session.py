@@ -28,9 +28,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, then read back from the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Written once to the shared folder and read back.
+
+    Later uses cost a scan, outlive lost executors, and Spark knows the true size.
+    """
+    path = fresh_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
