@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mailloom.functions.text import leaf_subtag, leaf_tag
 from mailloom.operators.rules import is_leaf
-from mailloom.session import salted_join
+from mailloom.operators.senders import sender_stats
+from mailloom.schemas import KEY
+from mailloom.session import lookup_join, salted_join
 from mailloom.taxonomy import Taxonomy
 
 ITEM = ["scope", "key"]
@@ -28,10 +30,29 @@ def parse_leaf(rows: DataFrame, taxonomy: Taxonomy, leaf: str = "leaf") -> DataF
     })
 
 
+def accept_hints(messages: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(scope, key, hint) of the senders that are to be accepted; domains have none.
+
+    Only messages of these senders are counted.
+    """
+    wanted = decisions.filter("action = 'accept' AND scope = 'addr'").select(
+        F.col("key").alias("from_addr")
+    ).distinct()
+    own = lookup_join(
+        messages.select(*KEY, "from_addr", "from_domain", "date", "keyword_hint"),
+        wanted, ["from_addr"], "left_semi", F.struct(*KEY),
+    )
+    return sender_stats(own).select(
+        F.lit("addr").alias("scope"), F.col("from_addr").alias("key"),
+        F.col("keyword_hint").alias("hint"),
+    )
+
+
 def judge_decisions(decisions: DataFrame, queue: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """Decisions with tag, subtag and `rejected` (null, or why it has no effect).
 
-    The queue has one row per item, a decision log may name one item very often.
+    The queue (or accept_hints) has one row per item, a decision log may name one
+    item very often.
     """
     hints = queue.select(*ITEM, F.col("hint").alias("__hint"))
     spread = F.struct("decided_at", "seq")

@@ -61,13 +61,13 @@ def attach_sender_rules(messages: DataFrame, rules: DataFrame,
         )
         return joined.select(*messages.columns, rule)
     senders = messages.select("from_addr", "from_domain").distinct()
-    hits = (
+    found = (
         senders.join(by_addr, "from_addr", "left").join(by_domain, "from_domain", "left")
         .select("from_addr", "from_domain", rule)
         .filter("rule IS NOT NULL")
     )
     spread = F.struct("folder", "uidvalidity", "uid")
-    return lookup_join(messages, hits, ["from_addr", "from_domain"], "left", spread, max_rows) \
+    return lookup_join(messages, found, ["from_addr", "from_domain"], "left", spread, max_rows) \
         .select(*messages.columns, "rule")
 
 

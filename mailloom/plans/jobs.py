@@ -13,9 +13,9 @@ from mailloom import fixed
 from mailloom.operators import audit as audits
 from mailloom.operators import classify as classes
 from mailloom.operators import intake, model, reports, review, rules as ruling, senders, summary
-from mailloom.operators.decisions import judge_decisions
+from mailloom.operators.decisions import accept_hints, judge_decisions
 from mailloom.schemas import CURSOR, KEY, MESSAGE
-from mailloom.session import settled
+from mailloom.session import narrowed, settled
 from mailloom.sources import sinks, state as tables
 from mailloom.sources.state import State
 from mailloom.taxonomy import Taxonomy
@@ -60,17 +60,22 @@ def ingest_indexed(spark: SparkSession, state: State, rows: DataFrame, run_ts: d
     kept = intake.drop_folders(stored, rolled)
     current = rows.join(generations, ["folder", "uidvalidity"], "left_semi")
     if streamed:
-        fetched = current.join(kept.select(*KEY), KEY, "left_anti")
+        n = current.count()
+        known = narrowed(kept.select(*KEY), current, KEY, n)
+        fetched = current.join(known, KEY, "left_anti")
     else:
         fetched = intake.incremental_scan(current, cursor, full)
+        n = fetched.count()
     batch = fetched.select(*MESSAGE.names)
+    # What is stored under the ids of this batch; a small batch shuffles no history.
+    met = narrowed(kept.select(*KEY, "message_id"), batch, ["message_id"], n)
     released = None
     if not rolled.isEmpty():
         released = stored.join(rolled, "folder", "left_semi").select("folder", "message_id")
     if full and refresh:
-        fresh = intake.dedup_refresh(batch, kept, folders)
+        fresh = intake.dedup_refresh(batch, met, folders)
     else:
-        fresh = intake.dedup_messages(batch, kept, folders, released)
+        fresh = intake.dedup_messages(batch, met, folders, released)
     fresh = fresh.select(*MESSAGE.names)
     run = tables.committed_batch(spark, state) + 1
     if full:
@@ -124,7 +129,7 @@ def review_queue(spark: SparkSession, state: State, n: int = fixed.TOP_SENDERS,
 def apply_decisions(spark: SparkSession, state: State, decisions: DataFrame,
                     taxonomy: Taxonomy) -> DataFrame:
     """Append decisions to the log; returns those of this run that were rejected."""
-    queue = review.queue_items(senders.sender_profiles(tables.read_messages(spark, state)))
+    queue = accept_hints(tables.read_messages(spark, state), decisions)
     run = tables.next_run(spark, state, "decisions")
     tables.append_decisions(judge_decisions(decisions, queue, taxonomy), state, run)
     written = spark.read.parquet(state.path("decisions", f"run_seq={run}"))
@@ -165,7 +170,7 @@ def classify_llm_batch(spark: SparkSession, state: State, taxonomy: Taxonomy, mo
                        partitions: int | None = None) -> DataFrame:
     """Send the residue to the model once and append; returns called, unclassified.
 
-    `partitions` sets how many tasks call the model at a time.
+    `partitions` sets over how many tasks the calls are spread.
     """
     taxonomy.check_budget()
     messages = tables.read_messages(spark, state)
@@ -175,8 +180,9 @@ def classify_llm_batch(spark: SparkSession, state: State, taxonomy: Taxonomy, mo
     residue = classes.llm_limit(
         classes.llm_residue(messages, rules, log, taxonomy, keyword_authoritative), limit
     )
-    if partitions:
-        residue = residue.repartition(partitions)
+    if partitions or limit is not None:
+        # A limit leaves one partition; the calls are spread again.
+        residue = residue.repartition(partitions or spark.sparkContext.defaultParallelism)
     records = model.classify_llm_batch(residue, taxonomy, model_id, _stamp(run_ts), run,
                                        factory, replies, threshold)
     tables.append_classification(records, state, taxonomy.content_hash, run)

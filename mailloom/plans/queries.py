@@ -338,8 +338,8 @@ def queue_sort_by(spark, sf):
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    queue = review.queue_items(senders.sender_profiles(_for_senders(spark, sf)))
-    return deciding.judge_decisions(fx.decisions(spark, sf), queue, TAX)
+    hints = deciding.accept_hints(fx.messages(spark, sf), fx.decisions(spark, sf))
+    return deciding.judge_decisions(fx.decisions(spark, sf), hints, TAX)
 
 
 @query

@@ -38,8 +38,11 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count a side up to the bound, no further."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Count a side before a broadcast is asked for.
+
+    Meant for stored tables and cached batches, where a count reads no columns.
+    """
+    return df.count() <= max_rows
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
@@ -48,11 +51,38 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
 
     `spread` is any value that differs inside a hot key of the left side.
     """
+    right = settled(right)
     if fits_broadcast(right, max_rows):
         return left.join(F.broadcast(right), on, how)
     return salted_join(left, right, on, how, spread)
 
 
+def narrowed(big: DataFrame, keys: DataFrame, on: list[str], key_rows: int,
+             max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`big`, cut to rows that can meet one of `keys` where these are few.
+
+    Only an aid before a join on the same columns: a small batch then reads the
+    history without shuffling it. With many keys `big` stays as it is.
+    """
+    if key_rows > max_rows:
+        return big
+    return big.join(F.broadcast(keys.select(*on).distinct()), on, "left_semi")
+
+
+def cluster_conf(input_bytes: int, partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Session settings for an input size: shuffle partitions of about one block
+    before AQE merges small ones and splits skewed ones."""
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(max(200, -(-input_bytes // partition_bytes))),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
                 spread: Column, salts: int = SALTS) -> DataFrame:
     """Spread each key of the left over `salts` tasks; repeat the right per salt.

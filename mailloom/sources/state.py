@@ -66,21 +66,21 @@ def committed_batch(spark: SparkSession, state: State) -> int:
 
 
 def read_cursor(spark: SparkSession, state: State) -> DataFrame:
-    """Newest cursor row of each folder; batch_id is the run that wrote it."""
-    rows = _read(spark, state, "cursor", CURSOR, BATCH)
-    last = F.max(F.struct("batch_id", *CURSOR.names[1:]))
-    return rows.groupBy("folder").agg(last.alias("last")).select("folder", "last.*")
+    """The last committed cursor: each run writes the rows of all folders."""
+    last = committed_batch(spark, state)
+    return _read(spark, state, "cursor", CURSOR, BATCH).filter(F.col("batch_id") == last)
 
 
 def read_messages(spark: SparkSession, state: State) -> DataFrame:
     """Live messages. The cursor has one row per folder, so Spark broadcasts it by
-    its file size and the messages do not move."""
-    live = read_cursor(spark, state).select(
-        "folder", "live_from", F.col("batch_id").alias("committed")
-    )
-    rows = _read(spark, state, "messages", MESSAGE, BATCH)
-    return rows.join(live, "folder").filter(
-        F.col("batch_id").between(F.col("live_from"), F.col("committed"))
+    its file size and the messages do not move; runs that are dead for all folders
+    are not even listed for reading."""
+    cursor = read_cursor(spark, state)
+    oldest, last = cursor.agg(F.min("live_from"), F.max("batch_id")).first()
+    runs = F.col("batch_id").between(oldest or 0, last or 0)
+    rows = _read(spark, state, "messages", MESSAGE, BATCH).filter(runs)
+    return rows.join(cursor.select("folder", "live_from"), "folder").filter(
+        "batch_id >= live_from"
     ).select(*MESSAGE.names)
 
 

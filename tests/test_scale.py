@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mailloom.operators import classify as cl, decisions as dec, intake, rules, senders, summary
 from mailloom.plans.queries import QUERIES
-from mailloom.session import fits_broadcast, salted_join
+from mailloom.session import cluster_conf, fits_broadcast, narrowed, salted_join, shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,6 +64,26 @@ def test_fits_broadcast(spark):
     assert fits_broadcast(spark.range(10), 10) and not fits_broadcast(spark.range(11), 10)
 
 
+def test_narrowed_join_equals_join(hot):
+    keys = hot.filter("uid < 10").select("message_id", "uid")
+    few = narrowed(hot, keys, ["message_id"], 10)
+    assert few.count() < hot.count() and narrowed(hot, keys, ["message_id"], 10, 5) is hot
+    assert rows_of(keys.join(few, "message_id", "left_semi")) == rows_of(
+        keys.join(hot, "message_id", "left_semi"))
+
+
+def test_shared_dir_follows_the_session(spark, monkeypatch):
+    own = shared_dir(spark)
+    real = spark.conf.get
+    monkeypatch.setattr(spark.conf, "get", lambda k, *d: "/shared/x/" if k == "spark.checkpoint.dir" else real(k, *d))
+    assert shared_dir(spark) == "/shared/x" != own
+
+
+def test_cluster_conf():
+    assert cluster_conf(100 << 40)["spark.sql.shuffle.partitions"] == str((100 << 40) // (128 << 20))
+    assert cluster_conf(1)["spark.sql.shuffle.partitions"] == "200"
+
+
 def test_many_rules_take_no_broadcast_hint(hot, make, tax):
     table = make.rules([("addr", f"u{i}@y.com", "keep", None) for i in range(50)]
                        + [("domain", "x.com", "junk", None)])
