@@ -52,11 +52,13 @@ def ingest_indexed(spark: SparkSession, state: State, rows: DataFrame, run_ts: d
     if folders:
         rows = rows.filter(F.col("folder").isin(folders))
     now = _stamp(run_ts)
-    cursor = tables.read_cursor(spark, state)
+    last = tables.committed_batch(spark, state)
+    run = last + 1
+    cursor = tables.read_cursor(spark, state, last)
     # One row per folder; all later steps read it back.
     generations = settled(intake.current_generations(rows, cursor, now))
     rolled = intake.rolled_over(generations, cursor)
-    stored = tables.read_messages(spark, state)
+    stored = tables.read_messages(spark, state, last)
     kept = intake.drop_folders(stored, rolled)
     current = rows.join(generations, ["folder", "uidvalidity"], "left_semi")
     if streamed:
@@ -77,7 +79,6 @@ def ingest_indexed(spark: SparkSession, state: State, rows: DataFrame, run_ts: d
     else:
         fresh = intake.dedup_messages(batch, met, folders, released)
     fresh = fresh.select(*MESSAGE.names)
-    run = tables.committed_batch(spark, state) + 1
     if full:
         fresh = settled(fresh)
         own = kept.join(generations.select("folder"), "folder", "left_semi")

@@ -65,20 +65,22 @@ def committed_batch(spark: SparkSession, state: State) -> int:
     return top or 0
 
 
-def read_cursor(spark: SparkSession, state: State) -> DataFrame:
+def read_cursor(spark: SparkSession, state: State, last: int | None = None) -> DataFrame:
     """The last committed cursor: each run writes the rows of all folders."""
-    last = committed_batch(spark, state)
+    last = committed_batch(spark, state) if last is None else last
     return _read(spark, state, "cursor", CURSOR, BATCH).filter(F.col("batch_id") == last)
 
 
-def read_messages(spark: SparkSession, state: State) -> DataFrame:
+def read_messages(spark: SparkSession, state: State, last: int | None = None) -> DataFrame:
     """Live messages. The cursor has one row per folder, so Spark broadcasts it by
     its file size and the messages do not move; runs that are dead for all folders
-    are not even listed for reading."""
-    cursor = read_cursor(spark, state)
-    oldest, last = cursor.agg(F.min("live_from"), F.max("batch_id")).first()
-    runs = F.col("batch_id").between(oldest or 0, last or 0)
-    rows = _read(spark, state, "messages", MESSAGE, BATCH).filter(runs)
+    are pruned as partitions."""
+    last = committed_batch(spark, state) if last is None else last
+    cursor = read_cursor(spark, state, last)
+    oldest = cursor.agg(F.min("live_from")).first()[0] or 0
+    rows = _read(spark, state, "messages", MESSAGE, BATCH).filter(
+        F.col("batch_id").between(oldest, last)
+    )
     return rows.join(cursor.select("folder", "live_from"), "folder").filter(
         "batch_id >= live_from"
     ).select(*MESSAGE.names)

@@ -19,8 +19,8 @@ DAY = datetime(2026, 1, 1)
 @pytest.fixture(scope="session")
 def spark():
     session = (
-        SparkSession.builder.master("local[8]").appName("mailloom-tests")
-        .config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master("local[4]").appName("mailloom-tests")
+        .config("spark.sql.shuffle.partitions", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
