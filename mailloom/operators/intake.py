@@ -100,16 +100,23 @@ def incremental_scan(raw: DataFrame, cursor: DataFrame, full: bool = False) -> D
     )
 
 
-def advance_cursor(fetched: DataFrame, generations: DataFrame, cursor: DataFrame,
+def fetch_stats(fetched: DataFrame) -> DataFrame:
+    """(folder, fetched, top): rows and highest uid per folder, in one scan."""
+    return fetched.groupBy("folder").agg(
+        F.count("*").alias("fetched"), F.max("uid").alias("top")
+    )
+
+
+def advance_cursor(stats: DataFrame, generations: DataFrame, cursor: DataFrame,
                    run_ts: Column, full: bool = False) -> DataFrame:
     """One row per folder after a run. Folders outside the run keep their row."""
-    top = fetched.groupBy("folder").agg(F.max("uid").alias("top"))
     old = cursor.select("folder", *[F.col(c).alias(f"old_{c}") for c in
                                     ("uidvalidity", "last_uid", "complete", "updated_at")])
     start = F.when(
         F.lit(not full) & (F.col("old_uidvalidity") == F.col("uidvalidity")), F.col("old_last_uid")
     ).otherwise(0)
     ran = F.col("uidvalidity").isNotNull()
+    top = stats.select("folder", "top")
     return generations.join(top, "folder", "left").join(old, "folder", "full").select(
         "folder",
         F.coalesce("uidvalidity", "old_uidvalidity").alias("uidvalidity"),
@@ -232,14 +239,13 @@ def distinct_message_count(messages: DataFrame, approximate: bool = False) -> Da
     return messages.agg(n.alias("distinct_messages"))
 
 
-def sync_metrics(fetched: DataFrame, inserted: DataFrame, rolled: DataFrame) -> DataFrame:
+def sync_metrics(stats: DataFrame, inserted: DataFrame, rolled: DataFrame) -> DataFrame:
     """fetched, inserted, deduped, resynced per folder of the run."""
-    n_fetched = fetched.groupBy("folder").agg(F.count("*").alias("fetched"))
     n_inserted = inserted.groupBy("folder").agg(F.count("*").alias("inserted"))
     marked = rolled.select("folder", F.lit(True).alias("resynced"))
     inserted_n = F.coalesce("inserted", F.lit(0))
     return (
-        n_fetched.join(n_inserted, "folder", "left").join(marked, "folder", "left")
+        stats.join(n_inserted, "folder", "left").join(marked, "folder", "left")
         .select(
             "folder", "fetched", inserted_n.alias("inserted"),
             (F.col("fetched") - inserted_n).alias("deduped"),

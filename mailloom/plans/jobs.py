@@ -62,12 +62,12 @@ def ingest_indexed(spark: SparkSession, state: State, rows: DataFrame, run_ts: d
     kept = intake.drop_folders(stored, rolled)
     current = rows.join(generations, ["folder", "uidvalidity"], "left_semi")
     if streamed:
-        n = current.count()
-        known = narrowed(kept.select(*KEY), current, KEY, n)
+        known = narrowed(kept.select(*KEY), current, KEY, current.count())
         fetched = current.join(known, KEY, "left_anti")
     else:
         fetched = intake.incremental_scan(current, cursor, full)
-        n = fetched.count()
+    stats = settled(intake.fetch_stats(fetched))
+    n = stats.agg(F.sum("fetched")).first()[0] or 0
     batch = fetched.select(*MESSAGE.names)
     # What is stored under the ids of this batch; a small batch shuffles no history.
     met = narrowed(kept.select(*KEY, "message_id"), batch, ["message_id"], n)
@@ -86,8 +86,8 @@ def ingest_indexed(spark: SparkSession, state: State, rows: DataFrame, run_ts: d
     else:
         tables.write_batch(fresh, state, "messages", run)
         fresh = spark.read.parquet(state.path("messages", f"batch_id={run}"))
-    tables.write_batch(intake.sync_metrics(fetched, fresh, rolled), state, "metrics", run)
-    moved = intake.advance_cursor(fetched, generations, cursor, now, full)
+    tables.write_batch(intake.sync_metrics(stats, fresh, rolled), state, "metrics", run)
+    moved = intake.advance_cursor(stats, generations, cursor, now, full)
     tables.commit_cursor(_with_life(moved, generations, cursor, rolled, run, full), state, run)
     return tables.read_metrics(spark, state).filter(F.col("batch_id") == run).drop("batch_id")
 

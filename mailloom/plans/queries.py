@@ -144,8 +144,8 @@ def drop_folder(spark, sf):
 def advance_cursor(spark, sf):
     raw, cursor = fx.mail(spark, sf), fx.cursor(spark, sf)
     generations = intake.current_generations(raw.select(*KEY, "fetched_at"))
-    fetched = intake.incremental_scan(raw.select(*KEY), cursor)
-    return _plain(intake.advance_cursor(fetched, generations, cursor, fx.ntz(fx.RUN_TS)))
+    stats = intake.fetch_stats(intake.incremental_scan(raw.select(*KEY), cursor))
+    return _plain(intake.advance_cursor(stats, generations, cursor, fx.ntz(fx.RUN_TS)))
 
 
 @query
@@ -169,7 +169,8 @@ def sync_metrics(spark, sf):
     raw, cursor = fx.mail(spark, sf), fx.cursor(spark, sf)
     fetched = intake.incremental_scan(raw, cursor)
     rolled = intake.rolled_over(intake.current_generations(raw), cursor)
-    return intake.sync_metrics(fetched, intake.dedup_messages(fetched, None, fx.FOLDERS), rolled)
+    fresh = intake.dedup_messages(fetched, None, fx.FOLDERS)
+    return intake.sync_metrics(intake.fetch_stats(fetched), fresh, rolled)
 
 
 @query

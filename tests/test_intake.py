@@ -89,7 +89,7 @@ def test_incremental_scan_and_cursor(make):
     everything = intake.incremental_scan(raw, cursor, full=True)
     assert everything.count() == 4
     generations = intake.current_generations(raw)
-    moved = intake.advance_cursor(fetched, generations, cursor, F.lit(DAY).cast("timestamp_ntz"))
+    moved = intake.advance_cursor(intake.fetch_stats(fetched), generations, cursor, F.lit(DAY).cast("timestamp_ntz"))
     assert rows_of(moved, "folder", "uidvalidity", "last_uid") == [
         ("A", 10, 3), ("B", 2, 1), ("C", 1, 1), ("Z", 3, 4)]
 
@@ -99,7 +99,7 @@ def test_cursor_of_empty_runs(make):
     raw = make.raw([("A", 10, 1, "a")])
     generations = intake.current_generations(raw)
     now = F.lit(DAY).cast("timestamp_ntz")
-    nothing = raw.filter("false")
+    nothing = intake.fetch_stats(raw.filter("false"))
     kept = intake.advance_cursor(nothing, generations, cursor, now)
     reset = intake.advance_cursor(nothing, generations, cursor, now, full=True)
     assert rows_of(kept, "last_uid") == [(5,)] and rows_of(reset, "last_uid") == [(0,)]
