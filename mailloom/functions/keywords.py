@@ -69,48 +69,46 @@ def with_keyword_hint(messages: DataFrame, taxonomy: Taxonomy,
     return wide.withColumn(column, hint).drop(*texts.values())
 
 
-def with_contradiction(tagged: DataFrame, taxonomy: Taxonomy, assigned: str) -> DataFrame:
-    """Add `contradiction`: struct(suspected_tag, trigger_keywords) or null.
+def with_signals(messages: DataFrame, taxonomy: Taxonomy) -> DataFrame:
+    """Add `signals`: the rules, in order, with a keyword in subject or snippet, as
+    array of struct(suspected_tag, trigger_keywords); keywords stay in rule order.
 
-    The first rule of another tag with a keyword in subject or snippet wins;
-    its matched keywords stay in rule order. Both fields are always read.
+    Both fields are always read, whatever fields the rule lists.
     """
-    wide = tagged.withColumn(
+    wide = messages.withColumn(
         "__text", F.lower(F.concat_ws("\n", F.coalesce("subject", F.lit("")),
                                       F.coalesce("snippet", F.lit(""))))
     )
     text = F.col("__text")
     rules = taxonomy.keyword_rules
-    nothing = F.lit(None).cast("struct<suspected_tag:string,trigger_keywords:array<string>>")
-    if sum(len(r.keywords) for r in rules) <= CASE_LIMIT:
-        found = reduce(
-            lambda chain, r: chain.when(
-                (F.col(assigned) != r.tag) & _any_of(text, r.keywords),
+    if not rules:
+        found = F.array().cast("array<struct<suspected_tag:string,trigger_keywords:array<string>>>")
+    elif sum(len(r.keywords) for r in rules) <= CASE_LIMIT:
+        found = F.array_compact(F.array(*[
+            F.when(
+                _any_of(text, r.keywords),
                 F.struct(
                     F.lit(r.tag).alias("suspected_tag"),
                     F.array_compact(F.array(*[
                         F.when(F.contains(text, F.lit(k)), F.lit(k)) for k in r.keywords
                     ])).alias("trigger_keywords"),
                 ),
-            ),
-            rules,
-            F.when(F.lit(False), nothing),
-        )
+            )
+            for r in rules
+        ]))
     else:
-        slots = {r.fields: 0 for r in rules}
-        found = F.get(
-            F.filter(
-                F.transform(
-                    _rule_literals(rules, slots),
-                    lambda r: F.struct(
-                        r["tag"].alias("suspected_tag"),
-                        F.filter(r["keywords"], lambda k: F.contains(text, k))
-                        .alias("trigger_keywords"),
-                    ),
-                ),
-                lambda hit: (hit["suspected_tag"] != F.col(assigned))
-                & (F.size(hit["trigger_keywords"]) > 0),
+        every = F.transform(
+            _rule_literals(rules, {r.fields: 0 for r in rules}),
+            lambda r: F.struct(
+                r["tag"].alias("suspected_tag"),
+                F.filter(r["keywords"], lambda k: F.contains(text, k)).alias("trigger_keywords"),
             ),
-            F.lit(0),
         )
-    return wide.withColumn("contradiction", found).drop("__text")
+        found = F.filter(every, lambda hit: F.size(hit["trigger_keywords"]) > 0)
+    return wide.withColumn("signals", found).drop("__text")
+
+
+def first_contradiction(assigned: str) -> Column:
+    """First signal of another tag than the assigned one, or null."""
+    other = F.filter("signals", lambda hit: hit["suspected_tag"] != F.col(assigned))
+    return F.get(other, F.lit(0))

@@ -4,23 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mailloom.functions.keywords import with_contradiction
+from mailloom.functions.keywords import first_contradiction, with_signals
 from mailloom.operators.classify import latest_classification
 from mailloom.schemas import KEY
 from mailloom.taxonomy import Taxonomy
 
 
 def audit(messages: DataFrame, log: DataFrame, taxonomy: Taxonomy) -> DataFrame:
-    """At most one open finding per classified message."""
+    """At most one open finding per classified message.
+
+    The texts are read where they lie: only messages with a signal go on, and with
+    their keywords instead of their text.
+    """
     latest = latest_classification(log, taxonomy.content_hash).select(
         *KEY, F.col("tag").alias("assigned_tag")
     )
-    tagged = messages.select(*KEY, "subject", "snippet").join(latest, KEY)
-    return with_contradiction(tagged, taxonomy, "assigned_tag").filter(
-        "contradiction IS NOT NULL"
-    ).select(
-        *KEY, "assigned_tag", "contradiction.suspected_tag", "contradiction.trigger_keywords",
-        F.lit(False).alias("resolved"),
+    signalled = with_signals(messages.select(*KEY, "subject", "snippet"), taxonomy).filter(
+        F.size("signals") > 0
+    ).select(*KEY, "signals")
+    return (
+        signalled.join(latest, KEY)
+        .withColumn("hit", first_contradiction("assigned_tag"))
+        .filter("hit IS NOT NULL")
+        .select(*KEY, "assigned_tag", "hit.suspected_tag", "hit.trigger_keywords",
+                F.lit(False).alias("resolved"))
     )
 
 

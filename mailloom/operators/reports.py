@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mailloom import fixed
 from mailloom.functions.text import leaf_of
+from mailloom.operators.senders import by_rank
 from mailloom.operators.summary import (
     lowest_confidence, summary_coverage, tag_distribution, top_senders_per_tag,
 )
@@ -62,9 +63,9 @@ def sender_report_lines(profiles: DataFrame, version: str, n: int) -> DataFrame:
         "| # | Sender | Domain | Count | Hint | Example subjects |",
         "|---|--------|--------|-------|------|------------------|",
     ]
-    ranked = profiles.withColumn(
-        "rank", F.row_number().over(Window.orderBy(F.desc("message_count"), "from_addr"))
-    ).filter(F.col("rank") <= n)
+    ranked = profiles.orderBy(*by_rank()).limit(n).withColumn(
+        "rank", F.row_number().over(Window.orderBy(*by_rank()))
+    )
     subjects = F.array_join(
         F.transform("example_subjects", lambda s: F.replace(s, F.lit("|"), F.lit("\\|"))), " · "
     )

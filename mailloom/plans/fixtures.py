@@ -75,14 +75,15 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """INBOX half read, Archive of an older generation, Lists never read."""
-    return mail(spark, sf_dir).filter("folder != 'Lists'").groupBy("folder").agg(
+    """INBOX half read, Archive of an older generation, Lists never read. Settled, as
+    a cursor is stored in real use."""
+    return settled(mail(spark, sf_dir).filter("folder != 'Lists'").groupBy("folder").agg(
         F.max(F.when(F.col("folder") == "Archive", 19).otherwise(F.col("uidvalidity")))
         .cast("bigint").alias("uidvalidity"),
         F.floor(F.max("uid") / 2).alias("last_uid"),
         (F.col("folder") == "INBOX").alias("complete"),
         ntz("2025-01-01 00:00:00").alias("updated_at"),
-    )
+    ))
 
 
 def senders(spark: SparkSession, sf_dir: str) -> DataFrame:

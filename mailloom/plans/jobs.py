@@ -55,9 +55,10 @@ def ingest_indexed(spark: SparkSession, state: State, rows: DataFrame, run_ts: d
     last = tables.committed_batch(spark, state)
     run = last + 1
     cursor = tables.read_cursor(spark, state, last)
-    # One row per folder; all later steps read it back.
+    # Tables of one row per folder, written so that their true size is known: the
+    # joins by folder then broadcast them and a hot folder is never shuffled.
     generations = settled(intake.current_generations(rows, cursor, now))
-    rolled = intake.rolled_over(generations, cursor)
+    rolled = settled(intake.rolled_over(generations, cursor))
     stored = tables.read_messages(spark, state, last)
     kept = intake.drop_folders(stored, rolled)
     current = rows.join(generations, ["folder", "uidvalidity"], "left_semi")

@@ -136,7 +136,7 @@ def upsert_messages(spark, sf):
 @query
 def drop_folder(spark, sf):
     raw = fx.mail(spark, sf).select(*KEY, "fetched_at")
-    rolled = intake.rolled_over(intake.current_generations(raw), fx.cursor(spark, sf))
+    rolled = settled(intake.rolled_over(intake.current_generations(raw), fx.cursor(spark, sf)))
     return intake.drop_folders(fx.messages(spark, sf), rolled).select(*KEY, "message_id")
 
 
@@ -156,7 +156,7 @@ def rollover(spark, sf):
         "uidvalidity",
         F.when(F.col("folder") == "Archive", F.lit(19).cast("bigint")).otherwise(F.col("uidvalidity")),
     )
-    rolled = intake.rolled_over(intake.current_generations(raw), cursor)
+    rolled = settled(intake.rolled_over(intake.current_generations(raw), cursor))
     kept = intake.drop_folders(stored, rolled)
     released = stored.join(rolled, "folder", "left_semi").select("folder", "message_id")
     batch = intake.index_messages(intake.incremental_scan(raw, cursor), TAX)
@@ -168,7 +168,7 @@ def rollover(spark, sf):
 def sync_metrics(spark, sf):
     raw, cursor = fx.mail(spark, sf), fx.cursor(spark, sf)
     fetched = intake.incremental_scan(raw, cursor)
-    rolled = intake.rolled_over(intake.current_generations(raw), cursor)
+    rolled = settled(intake.rolled_over(intake.current_generations(raw), cursor))
     fresh = intake.dedup_messages(fetched, None, fx.FOLDERS)
     return intake.sync_metrics(intake.fetch_stats(fetched), fresh, rolled)
 

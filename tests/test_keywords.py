@@ -46,7 +46,10 @@ def test_contradiction(spark, tax, limit):
         ("keep", "Big SALE 50% off", "unsubscribe"), ("junk", "invoice sale", ""),
         ("junk", "sale", "hi"), ("receipt", "this", "week"), ("keep", "hi", "your invoice"),
     ], "tag string, subject string, snippet string")
-    got = [r.contradiction for r in kw.with_contradiction(df, tax, "tag").collect()]
+    hits = kw.with_signals(df, tax).select(kw.first_contradiction("tag").alias("hit"))
+    got = [r.hit for r in hits.collect()]
+    none = kw.with_signals(df, Taxonomy("x", ())).select(kw.first_contradiction("tag").alias("hit"))
+    assert {r.hit for r in none.collect()} == {None}
     assert got[0].suspected_tag == "junk"
     assert got[0].trigger_keywords == ["unsubscribe", "% off", "sale"]
     assert got[1].suspected_tag == "receipt" and got[1].trigger_keywords == ["invoice"]
