@@ -69,16 +69,31 @@ def with_keyword_hint(messages: DataFrame, taxonomy: Taxonomy,
     return wide.withColumn(column, hint).drop(*texts.values())
 
 
+def _audit_text() -> Column:
+    """Subject and snippet, always both, whatever fields a rule lists."""
+    return F.lower(F.concat_ws("\n", F.coalesce("subject", F.lit("")),
+                               F.coalesce("snippet", F.lit(""))))
+
+
+def has_signal(taxonomy: Taxonomy) -> Column:
+    """Whether any keyword of any rule is in the text.
+
+    One pattern, so that the text is made once however far the filter is pushed.
+    """
+    words = [k for r in taxonomy.keyword_rules for k in r.keywords]
+    if not words:
+        return F.lit(False)
+    if len(words) > CASE_LIMIT:
+        return F.exists(F.lit(words), lambda k: F.contains(_audit_text(), k))
+    quoted = ["\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in words]
+    return F.rlike(_audit_text(), F.lit("|".join(quoted)))
+
+
 def with_signals(messages: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """Add `signals`: the rules, in order, with a keyword in subject or snippet, as
     array of struct(suspected_tag, trigger_keywords); keywords stay in rule order.
-
-    Both fields are always read, whatever fields the rule lists.
     """
-    wide = messages.withColumn(
-        "__text", F.lower(F.concat_ws("\n", F.coalesce("subject", F.lit("")),
-                                      F.coalesce("snippet", F.lit(""))))
-    )
+    wide = messages.withColumn("__text", _audit_text())
     text = F.col("__text")
     rules = taxonomy.keyword_rules
     if not rules:

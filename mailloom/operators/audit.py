@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mailloom.functions.keywords import first_contradiction, with_signals
+from mailloom.functions.keywords import first_contradiction, has_signal, with_signals
 from mailloom.operators.classify import latest_classification
 from mailloom.schemas import KEY
 from mailloom.taxonomy import Taxonomy
@@ -19,9 +19,8 @@ def audit(messages: DataFrame, log: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     latest = latest_classification(log, taxonomy.content_hash).select(
         *KEY, F.col("tag").alias("assigned_tag")
     )
-    signalled = with_signals(messages.select(*KEY, "subject", "snippet"), taxonomy).filter(
-        F.size("signals") > 0
-    ).select(*KEY, "signals")
+    hits = messages.select(*KEY, "subject", "snippet").filter(has_signal(taxonomy))
+    signalled = with_signals(hits, taxonomy).select(*KEY, "signals")
     return (
         signalled.join(latest, KEY)
         .withColumn("hit", first_contradiction("assigned_tag"))

@@ -48,6 +48,12 @@ def test_contradiction(spark, tax, limit):
     ], "tag string, subject string, snippet string")
     hits = kw.with_signals(df, tax).select(kw.first_contradiction("tag").alias("hit"))
     got = [r.hit for r in hits.collect()]
+    assert df.filter(kw.has_signal(tax)).count() == 4  # "this" and "week" do not meet
+    assert df.filter("subject = 'hi' AND snippet = 'x'").filter(kw.has_signal(tax)).count() == 0
+    odd = Taxonomy("x", (), (KeywordRule("a", ("a.b", "q\\Ez")),))
+    texts = spark.createDataFrame([("a.b", ""), ("axb", ""), ("q\\Ez", ""), ("qez", "")],
+                                  "subject string, snippet string")
+    assert [r.subject for r in texts.filter(kw.has_signal(odd)).collect()] == ["a.b"]
     none = kw.with_signals(df, Taxonomy("x", ())).select(kw.first_contradiction("tag").alias("hit"))
     assert {r.hit for r in none.collect()} == {None}
     assert got[0].suspected_tag == "junk"
