@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailloom.llm import quality_rules
+from mailloom.llm import packing, quality_rules, wavelet
 from mailloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,25 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op2_hilbert_packing(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op8_wavelet_tokens(spark, sf_dir):
+    folder, manifest = wavelet.write_tokens(
+        table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return wavelet.read_tokens(folder, manifest).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 @query
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents")).select(
