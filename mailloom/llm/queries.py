@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailloom.llm import packing, quality_rules, wavelet
+from mailloom.llm import packing, quality_rules, warc, wavelet
 from mailloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,10 @@ def op9_quality_rules(spark, sf_dir):
     return quality_rules.quality_report(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")
+
+
+@query
+def op10_warc_salvage(spark, sf_dir):
+    folder, manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(folder, manifest).filter("kind = 'record'").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
