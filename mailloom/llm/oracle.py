@@ -36,3 +36,27 @@ def quality_sql(source: str = "documents") -> str:
 
 
 ORACLE["op9_quality_rules"] = f"SELECT * EXCLUDE (rid) FROM ({quality_sql()})"
+
+
+def jaccard_sql(source: str = "documents") -> str:
+    return rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS ws FROM {source}),
+    g AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 4], ' ') AS s FROM (
+        SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) AS p FROM d)),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b
+          ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          WHERE 100 * o >= 80 * (x.n + y.n - o)),
+    r AS (SELECT a AS node, b AS other FROM e UNION SELECT b, a FROM e
+          UNION SELECT r.node, x.other FROM r JOIN
+          (SELECT a AS node, b AS other FROM e UNION ALL SELECT b, a FROM e) x ON r.other = x.node)
+    SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
+           least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id
+    FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+    LEFT JOIN (SELECT node, min(other) AS low FROM r GROUP BY node) m ON m.node = d.doc_id"""
+
+
+ORACLE["op5_ngram_jaccard"] = jaccard_sql()

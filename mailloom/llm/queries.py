@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailloom.llm import packing, quality_rules, warc, wavelet
+from mailloom.llm import jaccard, packing, quality_rules, warc, wavelet
 from mailloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,8 @@ def op10_warc_salvage(spark, sf_dir):
     folder, manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(folder, manifest).filter("kind = 'record'").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op5_ngram_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
