@@ -60,3 +60,19 @@ def jaccard_sql(source: str = "documents") -> str:
 
 
 ORACLE["op5_ngram_jaccard"] = jaccard_sql()
+
+
+ORACLE["op3_substring_automata"] = r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    g AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS s FROM (
+        SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM d)),
+    m AS (SELECT doc_id, p FROM g QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+    c AS (SELECT doc_id, list(DISTINCT q) AS qs FROM (
+        SELECT doc_id, unnest(range(p, p + 13)) AS q FROM m) GROUP BY doc_id),
+    w AS (SELECT d.doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+    k AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.p) AS t FROM w LEFT JOIN (
+        SELECT doc_id, unnest(qs) AS p FROM c) x ON x.doc_id = w.doc_id AND x.p = w.p
+        WHERE x.p IS NULL GROUP BY w.doc_id)
+    SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(c.qs), 0)::BIGINT AS n_removed,
+           sha256(coalesce(k.t, '')) AS kept_sha256
+    FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""

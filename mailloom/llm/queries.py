@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailloom.llm import jaccard, packing, quality_rules, warc, wavelet
+from mailloom.llm import jaccard, packing, quality_rules, substrings, warc, wavelet
 from mailloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,9 @@ def op10_warc_salvage(spark, sf_dir):
 @query
 def op5_ngram_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_substring_automata(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).withColumn(
+        "kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
