@@ -70,28 +70,3 @@ def store_file(folder: str, stem: str, content: bytes) -> str:
         out.write(content)
     system.move(f"{base}/.{name}.tmp", f"{base}/{name}")
     return name
-
-
-BROADCAST_BYTES = 16_000_000
-
-
-def stored_bytes(df: DataFrame) -> int:
-    """Bytes of the rows of a narrow stored table: 8 for a number, its length for a text or
-    binary, 24 for each element of an array."""
-    size = F.lit(16)
-    for name, kind in df.dtypes:
-        if kind in ("string", "binary"):
-            size = size + F.coalesce(F.octet_length(name), F.lit(0)) + 16
-        elif kind.startswith("array"):
-            size = size + 24 * F.greatest(F.size(name), F.lit(0))
-        else:
-            size = size + 8
-    return int(df.agg(F.sum(size.cast("long"))).first()[0] or 0)
-
-
-def text_join(texts: DataFrame, stored: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join wide rows to a stored narrow table: broadcast while its measured bytes stay below
-    BROADCAST_BYTES, so that the texts are not shuffled; else a shuffle join."""
-    if stored_bytes(stored) <= BROADCAST_BYTES:
-        stored = F.broadcast(stored)
-    return texts.join(stored, on, how)

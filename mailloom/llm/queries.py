@@ -58,5 +58,4 @@ def op5_ngram_jaccard(spark, sf_dir):
 
 @query
 def op3_substring_automata(spark, sf_dir):
-    return substrings.remove_repeats(table(spark, sf_dir, "documents")).withColumn(
-        "kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), digest=True)

@@ -11,11 +11,12 @@ tasks, each with the automaton and a part of the runs.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from mailloom.llm.common import kept, parts_for, small_batches, text_join
+from mailloom.llm.common import kept, parts_for, small_batches
 from mailloom.llm.grams import block_windows, shared_windows
 
 WIDTH = 13
@@ -107,6 +108,32 @@ def _runs(pdf):
     return pd.DataFrame(out, columns=["doc_id", "text_key", "runs"])
 
 
+FIRST = "doc_id long, text_key long, n_words long, out string, text string, runs array<struct<start:int,windows:int,owner:long>>"
+
+
+def _render(words: list[str], digest: bool) -> str:
+    text = " ".join(words)
+    return hashlib.sha256(text.encode()).hexdigest() if digest else text
+
+
+def _first_pass(digest: bool):
+    """Documents without runs are done; the others go on with their texts."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for text, runs in zip(pdf["text"], pdf["runs"]):
+                words = _words(text or "")
+                out.append((len(words), _render(words, digest), None) if runs is None
+                           else (len(words), None, text))
+            got = pd.DataFrame(out, columns=["n_words", "out", "text"], index=pdf.index)
+            yield pd.concat([pdf[["doc_id"]].astype("Int64"), pdf[["text_key"]], got, pdf[["runs"]]], axis=1)
+
+    return run
+
+
 def _passages(width: int):
     def run(batches):
         import pandas as pd
@@ -151,29 +178,16 @@ def _match(width: int):
     return run
 
 
-def text_key() -> Column:
-    return F.xxhash64("text")
-
-
-def repeated_spans(df: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS,
+def repeated_spans(touched: DataFrame, width: int = WIDTH, shard_words: int = SHARD_WORDS,
                    task_words: int = TASK_WORDS) -> DataFrame:
-    """(doc_id, text_key, spans): word spans [start, end) to remove, for documents with any.
+    """(doc_id, text_key, spans): word spans [start, end) that stand in a smaller document.
 
-    Windows are judged on the texts as given. Rows without doc_id, without text or of fewer
-    words have none. Rows of one doc_id do not remove each other's words; text_key is the
-    hash of the text, so rows of one doc_id keep their own spans, and repeated rows share
-    them. Spans of different owners can overlap. Other columns are not read.
+    `touched` holds texts with their runs of shared windows. Spans of different owners can
+    overlap; they are sorted by start.
     """
-    spark = df.sparkSession
-    docs = df.select("doc_id", "text", text_key().alias("text_key"))
-    runs = kept(shared_windows(df, width, False, False, _runs, RUNS), "runs")
-    runs = runs.groupBy("doc_id", "text_key").agg(F.first("runs").alias("runs"))  # repeated rows
-    runs = kept(runs, "runs")
-    touched = text_join(docs.filter("text IS NOT NULL"), runs, ["doc_id", "text_key"], "inner")
-    small_batches(spark)
+    small_batches(touched.sparkSession)
     passages = kept(touched.select("doc_id", "text_key", "text", "runs").mapInPandas(
         _passages(width), "owner long, doc_id long, text_key long, start int, n int, words string"), "passages")
-
     reference = F.col("owner") == F.col("doc_id")
     total = passages.filter(reference).agg(F.sum("n")).first()[0]
     shards = parts_for(total, shard_words)
@@ -181,7 +195,7 @@ def repeated_spans(df: DataFrame, width: int = WIDTH, shard_words: int = SHARD_W
     # One row for each shard that more runs ask for than one task takes.
     hot = kept(passages.filter(~reference).groupBy("shard").agg(
         F.ceil(F.sum("n") / task_words).cast("int").alias("salts")).filter("salts > 1"), "hot")
-    passages = text_join(passages, hot, ["shard"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    passages = passages.join(hot, "shard", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     salt = F.when(reference, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int")))
     spans = passages.withColumn("salt", F.explode(salt)).groupBy("shard", "salt").applyInPandas(
@@ -190,35 +204,47 @@ def repeated_spans(df: DataFrame, width: int = WIDTH, shard_words: int = SHARD_W
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
-def cut_spans(df: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every row of `df` (doc_id, text) with n_words, n_removed and kept_text: the words that
-    are left, joined by one blank. Null text has no words and an empty kept_text."""
-    docs = df.select("doc_id", "text", text_key().alias("text_key"))
-    joined = text_join(docs, kept(spans, "spans"), ["doc_id", "text_key"], "left")
-    small_batches(df.sparkSession)
-
+def _cut(digest: bool):
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             out = []
             for text, spans in zip(pdf["text"], pdf["spans"]):
-                words = _words(text or "")
+                words = _words(text)
                 left = words
                 if spans is not None:
                     left, at = [], 0
-                    for s in spans:  # by start; they can overlap
+                    for s in spans:  # they can overlap
                         left += words[at:s["start"]]
                         at = max(at, s["end"])
                     left += words[at:]
-                out.append((len(words), len(words) - len(left), " ".join(left)))
-            yield pd.concat([pdf[["doc_id"]].astype("Int64"), pd.DataFrame(
-                out, columns=["n_words", "n_removed", "kept_text"], index=pdf.index)], axis=1)
+                out.append((len(words), len(words) - len(left), _render(left, digest)))
+            yield pd.concat([pdf[["doc_id"]], pd.DataFrame(
+                out, columns=["n_words", "n_removed", "out"], index=pdf.index)], axis=1)
+
+    return run
 
-    return joined.select("doc_id", "text", "spans").mapInPandas(
-        run, "doc_id long, n_words long, n_removed long, kept_text string")
 
+def remove_repeats(df: DataFrame, width: int = WIDTH, digest: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text) for each row of `df` (doc_id, text).
 
-def remove_repeats(df: DataFrame, width: int = WIDTH) -> DataFrame:
-    """`cut_spans` of `repeated_spans`: one row for each row of `df`."""
-    return cut_spans(df, repeated_spans(df, width))
+    Each word goes that a window of `width` words covers which also stands in a document
+    with a smaller doc_id; windows are judged on the texts as given. kept_text joins the
+    words that are left by one blank; with `digest` it is kept_sha256 instead, so that no
+    text is written. Null text has no words. Rows without doc_id keep all words and remove
+    none elsewhere. Rows of one doc_id do not remove each other's words, and rows of equal
+    doc_id and text get equal results. Other columns are not read. Texts are shuffled once.
+    """
+    runs = kept(shared_windows(df, width, False, False, _runs, RUNS), "runs")
+    runs = runs.groupBy("doc_id", "text_key").agg(F.first("runs").alias("runs"))  # repeated rows
+    small_batches(df.sparkSession)
+    docs = df.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    first = kept(docs.join(runs, ["doc_id", "text_key"], "left").select(
+        "doc_id", "text_key", "text", "runs").mapInPandas(_first_pass(digest), FIRST), "first")
+    touched = first.filter("text IS NOT NULL")
+    spans = kept(repeated_spans(touched, width), "spans")
+    cut = touched.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans").mapInPandas(
+        _cut(digest), "doc_id long, n_words long, n_removed long, out string")
+    done = first.filter("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "out")
+    return done.union(cut).withColumnRenamed("out", "kept_sha256" if digest else "kept_text")
