@@ -5,30 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mailloom.llm.common import kept
-from mailloom.session import salted_join
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Each node hands its larger (or, with itself, its smaller) neighbours to the smallest.
+
+    The smallest neighbour is found by combining in the map tasks; the join that follows
+    is a plain one, whose skewed side Spark splits.
+    """
+    if large:
+        near = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        near = edges  # a > b
+    low = near.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
+    pairs = near.join(low, "a")
+    if large:
+        found = pairs.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    else:
+        found = pairs.select(F.col("b").alias("a"), F.col("low").alias("b")).union(
+            low.select("a", F.col("low").alias("b")))
+    return found.filter("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that edges (a, b) reach, for each node of an edge.
 
-    Rounds of smallest neighbour label and of label of the label, until nothing changes;
-    each round is written to the shared folder. A node with very many edges is spread by
-    salted joins, and its smallest neighbour is found by combining in the map tasks.
+    Large stars and small stars in turn, until every node hangs on its label. Each round is
+    written to the shared folder, and its edges are no more than those of the round before.
     """
-    both = kept(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(),
-                "edges")
-    labels = kept(both.groupBy(F.col("a").alias("node")).agg(
-        F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    now = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter(
+        "a <> b").distinct(), "edges")
+    seen = None
     while True:
-        near = salted_join(
-            both.select("a", F.col("b").alias("node")), labels, ["node"], "inner", F.col("a"),
-        ).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        better = labels.join(near, "node", "left").select(
-            "node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        up = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
-        new = kept(salted_join(better, up, ["low"], "left", F.col("node")).select(
-            "node", "label", F.least("low", F.coalesce("up", "low")).alias("new")), "labels")
-        changed = not new.filter("new <> label").isEmpty()
-        labels = new.select("node", F.col("new").alias("label"))
-        if not changed:
-            return labels
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == seen:
+            break
+        seen = mark
+        now = kept(_star(_star(now, True), False), "edges")
+    own = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(own)

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, functions as F
 from mailloom.llm.common import kept
 from mailloom.llm.components import components
 from mailloom.llm.grams import block_windows, shared_windows
-from mailloom.session import salted_join
 
 WIDTH = 5
 PERCENT = 80
@@ -52,7 +51,8 @@ def _sets(percent: int):
 
 
 def search_group(ids, sizes, sets, percent: int) -> list[tuple]:
-    """Links that connect what links in a group: (smaller, larger) index pairs of a forest.
+    """What links in a group: (first, other) index pairs, the first of each component by id
+    with each other document of it.
 
     `sets` are arrays of shared shingles, `sizes` the sizes of the whole sets. A pair is
     checked unless earlier links connect it already.
@@ -69,7 +69,6 @@ def search_group(ids, sizes, sets, percent: int) -> list[tuple]:
     at = np.searchsorted(terms[by], np.arange(int(terms.max()) + 2))
     own = np.split(terms, np.cumsum(lengths)[:-1])
     root = np.arange(len(order))
-    links = []
     for q in range(1, len(order)):
         least = -(-percent * int(n[q]) // 100)
         lists = [posting[at[t]:at[t + 1]] for t in own[q].tolist()]
@@ -99,10 +98,13 @@ def search_group(ids, sizes, sets, percent: int) -> list[tuple]:
                 i = int(np.searchsorted(x, d))
                 c += i < len(x) and int(x[i]) == d
             if c >= need:
-                links.append((order[d], order[q]))
                 low, high = sorted((int(root[d]), int(root[q])))
                 root[root == high] = low
-    return links
+    firsts: dict[int, int] = {}
+    for i, r in enumerate(root.tolist()):
+        if r not in firsts or ids[order[i]] < ids[firsts[r]]:
+            firsts[r] = order[i]
+    return [(firsts[r], order[i]) for i, r in enumerate(root.tolist()) if firsts[r] != order[i]]
 
 
 def _search(percent: int):
@@ -131,23 +133,25 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT, width: int = WIDTH
     """
     spark = df.sparkSession
     sets = kept(shared_windows(df, width, True, True, _sets(percent), SETS), "sets")
-    alike = sets.filter("n_shingles > 0").groupBy("n_shingles", "sum_a", "sum_b").agg(
-        F.min("doc_id").alias("first"))
-    nodes = kept(salted_join(sets.drop("shared", "prefix"), alike,
-                             ["n_shingles", "sum_a", "sum_b"], "left", F.col("doc_id")), "nodes")
+    key = ["n_shingles", "sum_a", "sum_b"]
+    alike = sets.filter("n_shingles > 0").groupBy(*key).agg(
+        F.min("doc_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    nodes = kept(sets.drop("shared", "prefix").join(alike, key, "left").select(
+        "doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("first")), "nodes")
     firsts = nodes.filter("doc_id = first").select("doc_id").distinct()
     live = kept(sets.filter("shared IS NOT NULL").join(firsts, "doc_id", "left_semi"), "live")
 
     # One edge from each document of a rare shingle's list to the first of the list.
     heads = live.select("doc_id", F.explode("prefix").alias("shingle"))
     hubs = heads.groupBy("shingle").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"))
-    meet = salted_join(heads, hubs.filter("hub <> last"), ["shingle"], "inner", F.col("doc_id"))
-    groups = components(meet.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct())
+    meet = heads.join(hubs.filter("hub <> last"), "shingle")
+    groups = components(meet.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
 
-    size = groups.groupBy("label").agg(F.count("*").alias("members"))
-    placed = salted_join(groups, size, ["label"], "inner", F.col("node")).select(
+    large = kept(groups.groupBy("label").agg(F.count("*").alias("members")).filter(
+        F.col("members") > group_docs), "large")
+    placed = groups.join(large, "label", "left").select(
         F.col("node").alias("doc_id"), "label",
-        F.ceil(F.col("members") / group_docs).cast("int").alias("blocks"))
+        F.coalesce(F.ceil(F.col("members") / group_docs), F.lit(1)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     placed = placed.withColumn("block", block).select("doc_id", "label", F.explode(F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -156,12 +160,18 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT, width: int = WIDTH
     tasks = live.select("doc_id", "n_shingles", "shared").join(placed, "doc_id").select(
         "doc_id", "n_shingles", "shared", "label", "p.i", "p.j").withColumn(
         "bucket", F.pmod(F.xxhash64("label", "i", "j"), F.lit(parts)))
-    links = tasks.groupBy("bucket").applyInPandas(_search(percent), "a long, b long")
-    # Sets of one doc_id and equal sets of several are edges too.
-    same = nodes.filter("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    found = components(links.union(same.distinct()))
-    named = nodes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    links = kept(tasks.groupBy("bucket").applyInPandas(_search(percent), "a long, b long"), "links")
+
+    twice = nodes.groupBy("doc_id").agg(F.min("first").alias("low"), F.max("first").alias("high"))
+    if large.isEmpty() and twice.filter("low <> high").isEmpty():
+        # Every group was searched at once: its links lead to the first of a component.
+        found = links.select(F.col("b").alias("first"), F.col("a").alias("label"))
+    else:
+        same = nodes.filter("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+        found = components(links.union(same)).withColumnRenamed("node", "first")
+    # A set is that of its first document; so is its component.
+    named = nodes.join(found, "first", "left").select(
+        "doc_id", "n_shingles", F.coalesce("label", "first").alias("component_id"))
     none = F.lit(None).cast("long")
     return named.union(df.filter("doc_id IS NULL").select("doc_id", none, none))
 
