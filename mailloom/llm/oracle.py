@@ -76,3 +76,24 @@ ORACLE["op3_substring_automata"] = r"""
     SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(c.qs), 0)::BIGINT AS n_removed,
            sha256(coalesce(k.t, '')) AS kept_sha256
     FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
+ORACLE["op4_positional_index"] = r"""
+    WITH low AS (SELECT 'd' AS k, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        UNION ALL SELECT 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+    w AS (SELECT k, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM low),
+    b AS (SELECT id AS item_id, least(len(ws), 10) AS n, array_to_string(ws[p:p + 9], ' ') AS s FROM (
+        SELECT id, ws, unnest(range(1, greatest(len(ws) - 9, least(len(ws), 1)) + 1)) AS p FROM w WHERE k = 'b')),
+    g AS (SELECT DISTINCT n FROM b),
+    d AS (SELECT id AS doc_id, p, g.n, array_to_string(ws[p:p + g.n - 1], ' ') AS s
+          FROM (SELECT id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w WHERE k = 'd'), g WHERE p + g.n - 1 <= len(ws)),
+    h AS (SELECT DISTINCT d.doc_id, d.p, d.n, b.item_id FROM d JOIN b ON d.s = b.s AND d.n = b.n),
+    c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+    i AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs FROM (
+        SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY doc_id)
+    SELECT w.id AS doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+           coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(xs, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM w LEFT JOIN c ON c.doc_id = w.id LEFT JOIN i ON i.doc_id = w.id WHERE w.k = 'd'"""

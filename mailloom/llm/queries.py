@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailloom.llm import jaccard, packing, quality_rules, substrings, warc, wavelet
+from mailloom.llm import (
+    decontamination, jaccard, packing, quality_rules, secrets, substrings, warc, wavelet,
+)
 from mailloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +61,18 @@ def op5_ngram_jaccard(spark, sf_dir):
 @query
 def op3_substring_automata(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query
+def op4_positional_index(spark, sf_dir):
+    found = decontamination.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query
+def op6_secret_forest(spark, sf_dir):
+    return secrets.findings(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", "probability", "secret")
