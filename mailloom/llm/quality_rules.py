@@ -105,6 +105,9 @@ def measured(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = TABLE)
     own = df.columns
     for stage in _stages(F.col(text)):
         df = df.withColumns(stage)
+    # A row number is not deterministic, so a filter on a verdict stays above this projection;
+    # pushed below it, the filter would repeat every measure for each of its uses.
+    df = df.withColumn("__row", F.monotonically_increasing_id())
     m = {k: F.col(f"__{k}") for k in MEASURES}
     m |= {"one": F.lit(1), "stop_words_and_one": m["n_stop_words"] + 1}
     fails = [F.when(r.rejects(m), F.lit(r.name)) for r in rules]
@@ -113,7 +116,7 @@ def measured(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = TABLE)
         base = (base | r.rejects(m)) if r.base else base
     failed = F.filter(F.array(*fails), lambda x: x.isNotNull())
     quality = F.struct(*[m[k].alias(k) for k in MEASURES], failed.alias("failed_rules"),
-                       base.alias("base_failed"), (F.size(failed) == 0).alias("kept"))
+                       base.alias("base_failed"), ((F.size(failed) == 0) & (F.col("__row") >= 0)).alias("kept"))
     return df.select(*own, quality.alias("__quality"))
 
 
