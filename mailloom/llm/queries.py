@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailloom.llm import (
-    decontamination, jaccard, packing, quality_rules, secrets, substrings, warc, wavelet,
+    decontamination, jaccard, ngram_trie, packing, quality_rules, secrets, substrings, warc, wavelet,
 )
 from mailloom.llm.common import table
 
@@ -76,3 +76,8 @@ def op4_positional_index(spark, sf_dir):
 def op6_secret_forest(spark, sf_dir):
     return secrets.findings(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", "probability", "secret")
+
+
+@query
+def op7_elias_fano_lm(spark, sf_dir):
+    return ngram_trie.score_texts(table(spark, sf_dir, "documents"))
