@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailloom.llm import (
-    decontamination, jaccard, ngram_trie, packing, quality_rules, secrets, substrings, warc, wavelet,
+    decontamination, jaccard, ngram_trie, packing, quality_classifier, quality_rules, secrets, substrings, warc, wavelet,
 )
 from mailloom.llm.common import table
 
@@ -26,6 +26,11 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@query
+def op1_weak_labels(spark, sf_dir):
+    return quality_classifier.classify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_hilbert_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
