@@ -15,6 +15,11 @@ WHITESPACE = (
 )
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+
+
 def lower_address(addr: Column) -> Column:
     return F.lower(addr)
 
@@ -70,12 +75,12 @@ def leaf_of(tag: Column, subtag: Column) -> Column:
 
 
 def leaf_tag(leaf: Column) -> Column:
-    return F.split_part(F.trim(leaf), F.lit("/"), F.lit(1))
+    return F.split_part(stripped(leaf), F.lit("/"), F.lit(1))
 
 
 def leaf_subtag(leaf: Column) -> Column:
     """Everything after the first slash, null without one."""
-    return F.try_element_at(F.split(F.trim(leaf), "/", 2), F.lit(2))
+    return F.try_element_at(F.split(stripped(leaf), "/", 2), F.lit(2))
 
 
 def token_estimate(text: Column) -> Column:

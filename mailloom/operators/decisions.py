@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mailloom.functions.text import leaf_subtag, leaf_tag
+from mailloom.functions.text import leaf_subtag, leaf_tag, stripped
 from mailloom.operators.rules import is_leaf
 from mailloom.operators.senders import sender_stats
 from mailloom.schemas import KEY
@@ -22,7 +22,7 @@ SCOPES = ["addr", "domain"]
 
 def parse_leaf(rows: DataFrame, taxonomy: Taxonomy, leaf: str = "leaf") -> DataFrame:
     """Add tag, subtag and valid for a leaf text; both null when it is no leaf."""
-    ok = F.coalesce(is_leaf(F.trim(F.col(leaf)), taxonomy), F.lit(False))
+    ok = F.coalesce(is_leaf(stripped(F.col(leaf)), taxonomy), F.lit(False))
     return rows.withColumns({
         "tag": F.when(ok, leaf_tag(F.col(leaf))),
         "subtag": F.when(ok, leaf_subtag(F.col(leaf))),

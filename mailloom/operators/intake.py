@@ -7,20 +7,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from mailloom.fixed import MUTATING_COMMANDS
 from mailloom.functions.keywords import with_keyword_hint
 from mailloom.functions.text import (
-    canonical_headers, clean_message_id, domain_of, first_filled, lower_address,
-    short_hash, snippet,
+    WHITESPACE, canonical_headers, clean_message_id, domain_of, first_filled, lower_address,
+    short_hash, snippet, stripped,
 )
 from mailloom.schemas import KEY, MESSAGE
 from mailloom.session import salted_join
 from mailloom.taxonomy import Taxonomy
 
 
+def _header(name: str) -> Column:
+    """Value of a header in any case; of several the first by name."""
+    same = F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]) == name)
+    return F.get(F.array_sort(same), F.lit(0))["value"]
+
+
 def clean_raw(landed: DataFrame) -> DataFrame:
     """Landed mail (headers map, recipient list, text and html) to raw messages."""
     return landed.select(
         "folder", "uidvalidity",
         F.coalesce("uid", F.lit(0).cast("bigint")).alias("uid"),
-        clean_message_id(F.try_element_at("headers", F.lit("message-id"))).alias("message_id"),
+        clean_message_id(_header("message-id")).alias("message_id"),
         F.coalesce("from_addr", F.lit("")).alias("from_addr"),
         F.coalesce(F.array_join("to", ", "), F.lit("")).alias("to_addr"),
         F.coalesce("subject", F.lit("")).alias("subject"),
@@ -259,6 +265,6 @@ def sync_metrics(stats: DataFrame, inserted: DataFrame, rolled: DataFrame) -> Da
 
 def flag_commands(log: DataFrame, command: str = "command") -> DataFrame:
     """Log rows whose command would change server state (whole word at the start)."""
-    head = F.upper(F.trim(F.col(command)))
+    head = F.upper(stripped(F.col(command)))
     verbs = "|".join(MUTATING_COMMANDS)
-    return log.filter(F.rlike(head, F.lit(f"^({verbs})($| )")))
+    return log.filter(F.rlike(head, F.lit(f"^({verbs})($|[{WHITESPACE}])")))

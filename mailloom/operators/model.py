@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from mailloom import fixed
+from mailloom.functions.keywords import with_keyword_hint
 from mailloom.functions.reply import PARSED, abstain, with_outcome, with_parsed_reply
 from mailloom.functions.text import hint_line, kept_length, payload_head, token_estimate
 from mailloom.operators.classify import as_records
@@ -24,17 +25,18 @@ Completer = Callable[[str, str, dict], str | None]
 CompleterFactory = Callable[[], Completer]
 
 
-def build_payload(messages: DataFrame, budget: int = fixed.PAYLOAD_TOKEN_BUDGET,
+def build_payload(messages: DataFrame, taxonomy: Taxonomy,
+                  budget: int = fixed.PAYLOAD_TOKEN_BUDGET,
                   keep: list[str] | None = None) -> DataFrame:
-    """Add payload and truncated. The hint line comes after the cut."""
-    staged = messages.withColumn(
+    """Add payload and truncated. The hint line, of `taxonomy`, comes after the cut."""
+    staged = with_keyword_hint(messages, taxonomy, "__hint").withColumn(
         "__head", payload_head(F.col("from_addr"), F.col("subject"), F.col("date"))
     ).withColumn("__kept", kept_length(F.col("__head"), F.col("snippet"), budget))
     return staged.select(
         *(keep or messages.columns),
         F.concat(
             F.col("__head"), F.left("snippet", F.col("__kept").cast("int")),
-            hint_line(F.col("keyword_hint")),
+            hint_line(F.col("__hint")),
         ).alias("payload"),
         (F.col("__kept") < F.length("snippet")).alias("truncated"),
     )
@@ -124,7 +126,7 @@ def classify_llm_batch(residue: DataFrame, taxonomy: Taxonomy, model_id: str, ru
                        threshold: float = fixed.CONFIDENCE_THRESHOLD,
                        budget: int = fixed.PAYLOAD_TOKEN_BUDGET) -> DataFrame:
     """Records of a model run over the residue (cut it with llm_limit before)."""
-    payloads = build_payload(residue, budget, KEY)
+    payloads = build_payload(residue, taxonomy, budget, KEY)
     outcome = abstain(classify_llm(payloads, taxonomy, model_id, factory, replies), threshold)
     named = outcome.withColumn("method", F.lit("llm"))
     return as_records(named, taxonomy, run_ts, run_seq, "tag", "subtag")

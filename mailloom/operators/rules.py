@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailloom import fixed
+from mailloom.functions.keywords import with_keyword_hint
 from mailloom.functions.text import leaf_of
 from mailloom.session import BROADCAST_ROWS, fits_broadcast, lookup_join
 from mailloom.taxonomy import Taxonomy
@@ -77,18 +78,20 @@ def resolve_rules(messages: DataFrame, rules: DataFrame, taxonomy: Taxonomy,
     """Add resolved_tag, resolved_subtag, method, confidence (null when unresolved).
 
     Address rule, then domain rule, then keyword rule if that is authoritative.
-    Rules with an unknown leaf do not take part.
+    Rules with an unknown leaf do not take part. Keyword rules are those of `taxonomy`.
     """
-    joined = attach_sender_rules(messages, valid_rules(rules, taxonomy), max_rows)
+    # The stored hint is that of the taxonomy at ingest time.
+    hinted = with_keyword_hint(messages, taxonomy, "__hint")
+    joined = attach_sender_rules(hinted, valid_rules(rules, taxonomy), max_rows)
     by_rule = F.col("rule").isNotNull()
-    hint = F.col("keyword_hint") if keyword_authoritative else F.lit(None).cast("string")
+    hint = F.col("__hint") if keyword_authoritative else F.lit(None).cast("string")
     covered = by_rule | hint.isNotNull()
     return joined.withColumns({
         "resolved_tag": F.when(by_rule, F.col("rule.tag")).otherwise(hint),
         "resolved_subtag": F.when(by_rule, F.nullif(F.col("rule.subtag"), F.lit(""))),
         "method": F.when(by_rule, "sender_rule").when(hint.isNotNull(), "keyword_rule"),
         "confidence": F.when(covered, F.lit(1.0)),
-    }).drop("rule")
+    }).drop("rule", "__hint")
 
 
 def coverage(messages: DataFrame, rules: DataFrame, taxonomy: Taxonomy,

@@ -49,6 +49,7 @@ def ingest_indexed(spark: SparkSession, state: State, rows: DataFrame, run_ts: d
     A stream resumes by its own checkpoint, so it skips known keys instead of low
     uids, which may arrive late.
     """
+    rows = rows.filter("uid > 0")  # batch and stream alike; no mail has uid 0
     if folders:
         rows = rows.filter(F.col("folder").isin(folders))
     now = _stamp(run_ts)
@@ -174,7 +175,6 @@ def classify_llm_batch(spark: SparkSession, state: State, taxonomy: Taxonomy, mo
 
     `partitions` sets over how many tasks the calls are spread.
     """
-    taxonomy.check_budget()
     messages = tables.read_messages(spark, state)
     rules = settled(tables.read_rules(spark, state))
     log = tables.read_classifications(spark, state)

@@ -586,12 +586,12 @@ def token_estimate(spark, sf):
 
 @query
 def build_payload(spark, sf):
-    return model.build_payload(fx.messages(spark, sf), fx.PAYLOAD_BUDGET, KEY)
+    return model.build_payload(fx.messages(spark, sf), TAX, fx.PAYLOAD_BUDGET, KEY)
 
 
 @query
 def prompt_budget(spark, sf):
-    payloads = model.build_payload(fx.messages(spark, sf), keep=KEY)
+    payloads = model.build_payload(fx.messages(spark, sf), TAX, keep=KEY)
     return model.prompt_budget(payloads, TAX, 400)
 
 
@@ -626,7 +626,7 @@ def abstain(spark, sf):
 
 @query
 def complete(spark, sf):
-    payloads = model.build_payload(fx.messages(spark, sf), keep=KEY)
+    payloads = model.build_payload(fx.messages(spark, sf), TAX, keep=KEY)
     return model.replay(payloads, fx.replies(spark, sf), 1, "raw").select(*KEY, "truncated", "raw")
 
 
@@ -647,7 +647,7 @@ def llm_limit(spark, sf):
 
 @query
 def classify_llm(spark, sf):
-    payloads = model.build_payload(fx.messages(spark, sf), fx.PAYLOAD_BUDGET, KEY)
+    payloads = model.build_payload(fx.messages(spark, sf), TAX, fx.PAYLOAD_BUDGET, KEY)
     return model.classify_llm(payloads, TAX, fx.MODEL_ID, replies=fx.replies(spark, sf))
 
 

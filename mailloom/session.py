@@ -12,12 +12,17 @@ SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. Only where none is named (tests) a local one."""
+    """The folder all executors see.
+
+    Where none is named, a local one serves a local session; a cluster needs a name.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mailloom-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

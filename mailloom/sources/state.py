@@ -124,7 +124,8 @@ def append_classification(records: DataFrame, state: State, taxonomy_hash: str,
 def read_decisions(spark: SparkSession, state: State) -> DataFrame:
     """seq is ordered by run, then by its place in the run."""
     rows = _read(spark, state, "decisions", DECISION_LOG, RUN)
-    return rows.select(*DECISION_LOG.names)
+    placed = rows.withColumn("seq", F.col("run_seq").cast("long") * (1 << 32) + F.col("seq"))
+    return placed.select(*DECISION_LOG.names)
 
 
 def append_decisions(judged: DataFrame, state: State, run_seq: int) -> None:
