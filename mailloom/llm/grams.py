@@ -201,8 +201,11 @@ def _blocks(width: int, lower: bool, distinct: bool, buckets: int):
     return run
 
 
-def _answer(pdf):
-    """One bucket: the hashes of more than one doc_id, told to the blocks that hold them."""
+def _answer(pdf, lows: bool):
+    """One bucket: the hashes of more than one doc_id, told to the blocks that hold them.
+
+    Without `lows` the smallest doc_id is left at 0.
+    """
     import numpy as np
     import pandas as pd
 
@@ -222,11 +225,12 @@ def _answer(pdf):
     low, high = np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
     shared = np.repeat(low != high, sizes)
     rows = order[shared]
-    low, sizes = np.repeat(low, sizes)[shared], np.repeat(sizes, sizes)[shared]
+    low, sizes = np.repeat(low if lows else low * 0, sizes)[shared], np.repeat(sizes, sizes)[shared]
     by = np.argsort(source[rows], kind="stable")
     rows, low, sizes = rows[by], low[by], sizes[by]
     edges = np.searchsorted(source[rows], np.arange(len(got) + 1))
-    out = [(blocks[i], 1, _zip(place[rows[a:b]], low[a:b], sizes[a:b].astype("<i8"), hashes[rows[a:b]]))
+    out = [(blocks[i], 1, _zip(place[rows[a:b]], low[a:b], sizes[a:b].astype("<i8"),
+                            np.diff(hashes[rows[a:b]], prepend=np.uint64(0))))
            for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
     return pd.concat([tables, pd.DataFrame(out, columns=["block", "kind", "body"])])
 
@@ -240,7 +244,8 @@ def block_windows(pdf):
     parts = [_unzip(b, "<u4", "<i8", "<i8", "<u8") for b in pdf[pdf["kind"] == 1]["body"]]
     if not parts:
         return (*table, *(np.zeros(0, t) for t in ("<u4", "<i8", "<i8", "<u8")))
-    place, low, rows, hashes = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    place, low, rows = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    hashes = np.concatenate([np.cumsum(p[3], dtype="uint64") for p in parts])  # sent as steps
     order = np.argsort(place, kind="stable")
     return (*table, place[order], low[order], rows[order], hashes[order])
 
@@ -258,5 +263,10 @@ def shared_windows(df: DataFrame, width: int, lower: bool, distinct: bool, per_b
     buckets = parts_for(text_bytes(docs), bucket_bytes)
     sent = docs.mapInPandas(_blocks(width, lower, distinct, buckets),
                             "bucket int, block long, kind int, body binary")
-    told = sent.groupBy("bucket").applyInPandas(_answer, "block long, kind int, body binary")
+    lows = not distinct  # a set has no use for them
+
+    def answer(pdf):
+        return _answer(pdf, lows)
+
+    told = sent.groupBy("bucket").applyInPandas(answer, "block long, kind int, body binary")
     return told.groupBy("block").applyInPandas(per_block, schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mailloom.llm.common import kept
 from mailloom.llm.components import components
-from mailloom.llm.grams import block_windows, shared_windows
+from mailloom.llm.grams import HASH_BITS, block_windows, shared_windows
 
 WIDTH = 5
 PERCENT = 80
@@ -25,6 +25,19 @@ GROUP_DOCS = 6000
 SETS = "doc_id long, n_shingles long, sum_a long, sum_b long, shared binary, prefix array<long>"
 
 
+def pack(hashes) -> bytes:
+    """Hashes of HASH_BITS in as many bytes as they need."""
+    return hashes.astype("<u8").view("u1").reshape(-1, 8)[:, :HASH_BITS // 8].tobytes()
+
+
+def unpack(body: bytes):
+    import numpy as np
+
+    out = np.zeros((len(body) * 8 // HASH_BITS, 8), "u1")
+    out[:, :HASH_BITS // 8] = np.frombuffer(body, "u1").reshape(len(out), -1)
+    return out.view("<u8").ravel()
+
+
 def _sets(percent: int):
     def per_block(pdf):
         import numpy as np
@@ -43,7 +56,7 @@ def _sets(percent: int):
                 h = h[np.lexsort((h, rows[a:b]))]  # rarest first; windows of one row come before
                 head = (n - least + 1) - (n - len(h))
                 if head > 0:
-                    shared, prefix = h.astype("<u8").tobytes(), h[:head].astype("<i8")
+                    shared, prefix = pack(h), h[:head].astype("<i8")
             out.append((doc, n, int(sum_a[i]), int(sum_b[i]), shared, prefix))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SETS.split(", ")])
 
@@ -109,13 +122,12 @@ def search_group(ids, sizes, sets, percent: int) -> list[tuple]:
 
 def _search(percent: int):
     def run(pdf):
-        import numpy as np
         import pandas as pd
 
         out = []
         for _, g in pdf.groupby(["label", "i", "j"], sort=False):
             ids = g["doc_id"].tolist()
-            sets = [np.frombuffer(b, "<u8") for b in g["shared"]]
+            sets = [unpack(b) for b in g["shared"]]
             out += [(ids[a], ids[b]) for a, b in search_group(ids, g["n_shingles"].tolist(), sets, percent)]
         return pd.DataFrame(out, columns=["a", "b"])
 
@@ -139,10 +151,11 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT, width: int = WIDTH
     nodes = kept(sets.drop("shared", "prefix").join(alike, key, "left").select(
         "doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("first")), "nodes")
     firsts = nodes.filter("doc_id = first").select("doc_id").distinct()
-    live = kept(sets.filter("shared IS NOT NULL").join(firsts, "doc_id", "left_semi"), "live")
+    rare = kept(sets.filter("prefix IS NOT NULL").select("doc_id", "prefix").join(
+        firsts, "doc_id", "left_semi"), "rare")
 
     # One edge from each document of a rare shingle's list to the first of the list.
-    heads = live.select("doc_id", F.explode("prefix").alias("shingle"))
+    heads = rare.select("doc_id", F.explode("prefix").alias("shingle"))
     hubs = heads.groupBy("shingle").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"))
     meet = heads.join(hubs.filter("hub <> last"), "shingle")
     groups = components(meet.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
@@ -156,8 +169,10 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT, width: int = WIDTH
     placed = placed.withColumn("block", block).select("doc_id", "label", F.explode(F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))).alias("p"))
+    # Written, so that Spark knows its size: a small one is broadcast and no set moves twice.
+    placed = kept(placed, "placed")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    tasks = live.select("doc_id", "n_shingles", "shared").join(placed, "doc_id").select(
+    tasks = sets.filter("shared IS NOT NULL").select("doc_id", "n_shingles", "shared").join(placed, "doc_id").select(
         "doc_id", "n_shingles", "shared", "label", "p.i", "p.j").withColumn(
         "bucket", F.pmod(F.xxhash64("label", "i", "j"), F.lit(parts)))
     links = kept(tasks.groupBy("bucket").applyInPandas(_search(percent), "a long, b long"), "links")
