@@ -51,6 +51,11 @@ TAXONOMY_V1 = {
     ],
 }
 
+# Texts of a taxonomy in a prompt.
+TAXONOMY_HEAD = "Taxonomy %s:"
+TAG_LINE = "- %s: %s%s"
+SUBTAGS_NOTE = " (subtags: %s)"
+
 # Model prompt template of version classify_v1.
 PROMPT_VERSION = "classify_v1"
 PROMPT_CLASSIFY_V1 = """\

@@ -479,6 +479,14 @@ ORACLE: dict[str, str] = {
         SELECT version, name AS leaf FROM vtags UNION
         SELECT version, unnest(subtags) FROM vtags""", "vtags"),
     "taxonomy_prompt": _sql("SELECT version, prompt FROM vprompt", "vprompt"),
+    "taxonomy_hash": _sql("""
+        SELECT version, left(sha256(concat_ws(chr(29), version, t, r)), 16) AS taxonomy_hash
+        FROM (SELECT version, string_agg(concat(name, chr(31), definition, chr(31),
+                     COALESCE(array_to_string(subtags, chr(30)), '')), chr(29) ORDER BY pos) AS t
+              FROM vtags GROUP BY version)
+        LEFT JOIN (SELECT version, string_agg(concat(tag, chr(31), replace(fields, ',', chr(30)), chr(31),
+                     lower(array_to_string(keywords, chr(30)))), chr(29) ORDER BY rule_pos) AS r
+              FROM vrules GROUP BY version) USING (version)""", "vtags", "vrules"),
     "taxonomy_budget": _sql(
         "SELECT version, CAST(ceil(length(prompt) / 4.0) AS BIGINT) AS tokens,"
         " ceil(length(prompt) / 4.0) > 150 AS over_budget FROM vprompt", "vprompt"),

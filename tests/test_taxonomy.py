@@ -30,21 +30,33 @@ def test_unknown_version():
 
 
 def test_hash_changes_with_content(tax):
-    other = tx.taxonomy_from(spec(version="v2"))
+    other = tx.parse_taxonomy(spec(version="v2"))
     assert len(tax.content_hash) == 16 and other.content_hash != tax.content_hash
 
 
 def test_defaults_and_lower_case():
-    t = tx.taxonomy_from({"version": "x", "tags": [{"name": "a", "definition": "d"}],
+    t = tx.parse_taxonomy({"version": "x", "tags": [{"name": "a", "definition": "d"}],
                           "keyword_rules": [{"tag": "a", "keywords": ["HI There"]}]})
     assert t.keyword_rules[0].keywords == ("hi there",)
     assert t.keyword_rules[0].fields == ("subject",) and t.tags[0].subtags == ()
 
 
 def test_budget(tax):
-    assert tax.check_budget() == -(-len(tax.prompt()) // 4) < 1200
-    with pytest.raises(tx.TaxonomyBudgetError):
-        tax.check_budget(10)
+    assert tax.size() == tx.Size(-(-len(tax.prompt()) // 4), False)
+    assert tax.size(10).over_budget and not tax.size(tax.size().tokens).over_budget
+
+
+@pytest.mark.parametrize("bad, place", [
+    ({"version": 3}, "version"), ({"version": "x"}, "tags"),
+    ({"version": "x", "tags": [{"name": "a"}]}, r"tags\[0\]"),
+    ({"version": "x", "tags": [{"name": "a", "definition": 1}]}, r"tags\[0\]\.definition"),
+    ({"version": "x", "tags": [{"name": "a", "definition": "d", "subtags": "b"}]}, r"tags\[0\]\.subtags"),
+    ({"version": "x", "tags": [{"name": "a", "definition": "d"}],
+      "keyword_rules": [{"tag": "a", "keywords": [1]}]}, r"keyword_rules\[0\]\.keywords"),
+])
+def test_bad_entries_are_named(bad, place):
+    with pytest.raises(tx.TaxonomyError, match=place):
+        tx.parse_taxonomy(bad)
 
 
 def test_leaves(spark, tax):
@@ -59,8 +71,11 @@ def test_tables_agree_with_value(spark, tax):
     assert tx.taxonomy_prompt(tags).first()["prompt"] == tax.prompt()
     assert "- receipt: Purchase" in tax.prompt() and "(subtags: junk/marketing)" in tax.prompt()
     size = tx.prompt_size(tags, 100).first()
-    assert size["tokens"] == tax.check_budget() and size["over_budget"]
+    assert size["tokens"] == tax.size().tokens and size["over_budget"]
     first = tx.taxonomy_hash(tags, rules).first()["taxonomy_hash"]
+    assert first == tax.content_hash
+    bare = tx.Taxonomy("x", tax.tags)
+    assert tx.taxonomy_hash(bare.tags_frame(spark), bare.rules_frame(spark)).first()[1] == bare.content_hash
     assert first == tx.taxonomy_hash(tags.repartition(3), rules.repartition(2)).first()["taxonomy_hash"]
     assert first != tx.taxonomy_hash(tags, rules.filter("rule_pos > 0")).first()["taxonomy_hash"]
     words = tx.exploded_keywords(rules)
