@@ -65,8 +65,10 @@ def build_index(docs: DataFrame, terms: DataFrame, term_rows: int = TERM_ROWS) -
 
     A row is known by the hash of doc_id and text: repeated rows share their postings.
     """
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id",
-                       F.posexplode(F.concat(term_words(F.col("text")), F.array(F.lit(_END)))).alias("pos", "word"))
+    # Keyed before words become rows: beside an explode the key would be computed for each word.
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id",
+                        F.concat(term_words(F.col("text")), F.array(F.lit(_END))).alias("words"))
+    rows = keyed.select("row_key", "doc_id", F.posexplode("words").alias("pos", "word"))
     # A test set's vocabulary is small; its size is counted before it is sent to all tasks.
     terms = F.broadcast(terms) if terms.count() <= term_rows else terms
     return kept(rows.join(terms, "word").select("row_key", "doc_id", "pos", "term"), "postings")
