@@ -42,6 +42,15 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def filter_before_shuffle(spark: SparkSession) -> None:
+    """Spark's runtime Bloom filters at every input size, so that a selective join shuffles
+    few rows of its large side. Such a filter holds at most 8 MB; a full one lets rows pass."""
+    bloom = "spark.sql.optimizer.runtime.bloomFilter."
+    spark.conf.set(bloom + "enabled", "true")
+    spark.conf.set(bloom + "applicationSideScanSizeThreshold", "0")
+    spark.conf.set(bloom + "creationSideThreshold", "1t")
+
+
 def parts_for(total_bytes: int, each: int, least: int = 1) -> int:
     """Number of parts, growing with the input."""
     return max(least, -(-int(total_bytes or 0) // each))

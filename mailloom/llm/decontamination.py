@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from mailloom.llm.common import ascii_lower, kept
+from mailloom.llm.common import ascii_lower, filter_before_shuffle, kept
 
 WIDTH = 10
 RAREST = 2
@@ -86,7 +86,9 @@ def _by_rarity(index: DataFrame, phrases: Phrases) -> DataFrame:
 
 
 def _of_rows(index: DataFrame, rows: DataFrame) -> DataFrame:
-    return index.join(rows.select("row_key").distinct(), "row_key", "left_semi")
+    """The postings of the rows in `rows`; a runtime filter keeps the others from the shuffle."""
+    filter_before_shuffle(index.sparkSession)
+    return index.join(rows.select("row_key"), "row_key", "left_semi")
 
 
 def phrase_matches(index: DataFrame, phrases: Phrases, rarest: int = RAREST) -> DataFrame:
