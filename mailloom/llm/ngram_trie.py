@@ -19,7 +19,7 @@ from mailloom.llm.grams import _unzip, _zip, word_hashes
 from mailloom.session import fresh_path
 
 DISCOUNT = 0.75
-MIN_PAIR = 2
+MIN_PAIR = 1  # every pair counts; above 1 prunes the model
 BLOCK_TOKENS = 2_000_000
 BUCKET_BYTES = 14_000_000
 STEPS = 32  # quantised: -log10(p) in 32nds, one byte

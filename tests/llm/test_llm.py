@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import collections
+import math
 import os
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from mailloom.llm import (
@@ -172,6 +174,27 @@ def test_language_model(spark, odd, empty):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in got)
 
 
+def test_language_model_pairs_met_once(spark):
+    texts = {1: "red fox", 2: "blue fox jumps"}
+    docs = spark.createDataFrame([(*r, "7", "s", "l") for r in texts.items()], DOCS)
+    words, pairs, contexts = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in texts.values():
+        seq = ["<s>", *t.split(), "</s>"]
+        words.update(seq[1:])
+        contexts.update(seq[:-1])
+        pairs.update(zip(seq, seq[1:]))
+    kinds = collections.Counter(a for a, _ in pairs)
+
+    def p(a, b):
+        base = (words[b] + 0.1) / (sum(words.values()) + 0.1 * (len(words) + 1))
+        return (pairs[a, b] - 0.75 + 0.75 * kinds[a] * base) / contexts[a]
+
+    for r in ngram_trie.score_texts(docs, F.lit(False)).collect():
+        seq = ["<s>", *texts[r.doc_id].split(), "</s>"]
+        want = sum(math.log10(p(a, b)) for a, b in zip(seq, seq[1:]))
+        assert abs(r.score - want) < r.n_tokens / 32
+
+
 def test_weak_labels(odd, empty):
     got = {r.doc_id: r for r in quality_classifier.classify(odd).collect()}
     assert not got[1].kept and not got[2].kept and quality_classifier.classify(empty).count() == 0
