@@ -132,19 +132,23 @@ def _put(hashes, index, docs, sizes) -> bytes:
 
     step = np.diff(hashes, prepend=np.uint64(0))
     low, high = (step & np.uint64(0xFFFFFFFF)).astype("<u4"), (step >> np.uint64(32)).astype("<u4")
-    place = index.astype("<u4").view("u1").reshape(-1, 4)[:, :3]
+    top = int(index.max(initial=0))
+    if top >= 1 << 32:
+        raise ValueError(f"a block of more than {1 << 32} windows")
+    size = 3 if top < 1 << 24 else 4
+    place = index.astype("<u4").view("u1").reshape(-1, 4)[:, :size]
     tail = _zip(high, np.diff(docs, prepend=0), sizes.astype("<u4"))
-    return struct.pack("<I", len(hashes)) + low.tobytes() + place.tobytes() + tail
+    return struct.pack("<II", len(hashes), size) + low.tobytes() + place.tobytes() + tail
 
 
 def _get(body: bytes):
     import numpy as np
 
-    n = struct.unpack_from("<I", body)[0]
-    low = np.frombuffer(body, "<u4", n, 4).astype("uint64")
+    n, size = struct.unpack_from("<II", body)
+    low = np.frombuffer(body, "<u4", n, 8).astype("uint64")
     place = np.zeros((n, 4), "u1")
-    place[:, :3] = np.frombuffer(body, "u1", 3 * n, 4 + 4 * n).reshape(n, 3)
-    high, docs, sizes = _unzip(body[4 + 7 * n:], "<u4", "<i8", "<u4")
+    place[:, :size] = np.frombuffer(body, "u1", size * n, 8 + 4 * n).reshape(n, size)
+    high, docs, sizes = _unzip(body[8 + (4 + size) * n:], "<u4", "<i8", "<u4")
     hashes = np.cumsum(low | high.astype("uint64") << np.uint64(32), dtype="uint64")
     return hashes, place.view("<u4").ravel(), np.cumsum(docs), np.cumsum(sizes)
 

@@ -166,6 +166,20 @@ def test_token_ids():
         assert [e.ids(t) for t in texts * 3] == [e.whole(t) if t else b"" for t in texts * 3]
 
 
+def test_block_places():
+    import numpy as np
+
+    from mailloom.llm.grams import _get, _put
+
+    for top in (5, (1 << 24) - 1, 1 << 24, (1 << 32) - 1):
+        places = np.array([0, top, 3], "i8")
+        got = _get(_put(np.array([1, 2, 1 << 50], "u8"), places, np.array([7, 9]), np.array([1, 2])))
+        assert got[1].tolist() == places.tolist() and got[0].tolist() == [1, 2, 1 << 50]
+        assert got[2].tolist() == [7, 9] and got[3].tolist() == [1, 3]
+    with pytest.raises(ValueError):
+        _put(np.array([1], "u8"), np.array([1 << 32], "i8"), np.array([7]), np.array([1]))
+
+
 def test_language_model(spark, odd, empty):
     got = ngram_trie.score_texts(odd).collect()
     assert len(got) == len(ODD) and ngram_trie.score_texts(empty).count() == 0
