@@ -19,7 +19,7 @@ DOCUMENTS = struct("doc_id BIGINT, text STRING, lang STRING, source STRING, n_ch
 
 # Expressions that read alike in both engines but for the two marked types.
 MAIL = {
-    "uid": "doc_id",
+    "uid": "doc_id + 1",  # no mail has uid 0
     "folder": "CASE lang WHEN 'en' THEN 'INBOX' WHEN 'de' THEN 'Archive' ELSE 'Lists' END",
     "uidvalidity": "CAST(CASE lang WHEN 'en' THEN 10 WHEN 'de' THEN 20 ELSE 30 END AS BIGINT)",
     "message_id": "CASE WHEN doc_id % 97 = 0 THEN '' ELSE md5(text) END",
@@ -142,7 +142,7 @@ def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earlier runs over the labelled messages: a model run, a later rule run for
     the toxic ones, and a run under another taxonomy."""
     labelled = mail(spark, sf_dir).select("folder", "uidvalidity", "uid").join(
-        table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "uid"), "uid"
+        table(spark, sf_dir, "labels").withColumn("uid", F.col("doc_id") + 1).drop("doc_id"), "uid"
     )
 
     def record(tag, subtags, confidence, method, hash_, at, seq):

@@ -95,7 +95,7 @@ _CTE: dict[str, tuple[list[str], str]] = {
                concat('later ', from_domain) AS note
         FROM senders WHERE from_domain <> ''"""),
     "log": (["mail"], f"""
-        SELECT m.folder, m.uidvalidity, m.uid, r.*, 'v1' AS taxonomy_version,
+        SELECT m.folder, m.uidvalidity, m.uid, r.* EXCLUDE (doc_id), 'v1' AS taxonomy_version,
                CASE WHEN method = 'llm' THEN 'm0' END AS model_id,
                CASE WHEN method = 'llm' THEN 'classify_v1' END AS prompt_version,
                CASE WHEN method = 'llm' THEN 'earlier run' END AS rationale,
@@ -112,7 +112,7 @@ _CTE: dict[str, tuple[list[str], str]] = {
                  TIMESTAMP '2026-01-02 00:00:00', 2 FROM labels WHERE toxic = 1
           UNION ALL
           SELECT doc_id, 'keep', '', 1.0, 'keyword_rule', 'older',
-                 TIMESTAMP '2026-01-03 00:00:00', 3 FROM labels) r ON m.uid = r.doc_id"""),
+                 TIMESTAMP '2026-01-03 00:00:00', 3 FROM labels) r ON m.uid = r.doc_id + 1"""),
     "latest": (["log"], f"""
         SELECT * FROM log WHERE taxonomy_hash = '{HASH}' QUALIFY row_number() OVER
           (PARTITION BY folder, uidvalidity, uid ORDER BY created_at DESC, run_seq DESC) = 1"""),

@@ -471,7 +471,7 @@ def classify_rules(spark, sf):
 
 @query
 def classify_metrics(spark, sf):
-    return classes.classify_metrics(_for_senders(spark, sf), fx.rules(spark, sf), _log(spark, sf), TAX)
+    return classes.classify_metrics(settled(fx.messages(spark, sf)), fx.rules(spark, sf), _log(spark, sf), TAX)
 
 
 @query
