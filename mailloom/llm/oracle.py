@@ -97,3 +97,39 @@ ORACLE["op4_positional_index"] = r"""
            coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(xs, '')) AS items_sha256,
            coalesce(n_hit, 0) > 0 AS contaminated
     FROM w LEFT JOIN c ON c.doc_id = w.id LEFT JOIN i ON i.doc_id = w.id WHERE w.k = 'd'"""
+
+
+ORACLE["op11_inverted_multi_index"] = """
+    WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    u AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL
+          AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    p AS (SELECT a.rid, a.vec_id AS node, b.vec_id AS other FROM u a JOIN u b
+          ON a.label = b.label AND len(a.e) = len(b.e) AND a.rid <> b.rid
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    c AS (SELECT rid, count(*) AS n FROM p GROUP BY rid),
+    e AS (SELECT DISTINCT node, other FROM p),
+    r AS (SELECT node, other FROM e UNION SELECT r.node, e.other FROM r JOIN e ON r.other = e.node),
+    m AS (SELECT node, min(other) AS low FROM r GROUP BY node)
+    SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(v.vec_id, m.low) AS component_id,
+           v.vec_id IS NOT DISTINCT FROM least(v.vec_id, m.low) AS kept
+    FROM v LEFT JOIN c ON c.rid = v.rid LEFT JOIN m ON m.node = v.vec_id"""
+
+
+ORACLE["op13_threshold_negatives"] = """
+    WITH v AS (SELECT row_number() OVER () AS rid, vec_id,
+               CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding::DOUBLE[] AS e FROM embeddings),
+    u AS (SELECT rid, vec_id, label, list_transform(e, lambda x: floor(256 * x)) AS e FROM v
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0
+          AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.rid AS aid, a.vec_id AS anchor_id, b.rid, b.vec_id, a.label = b.label AS same,
+                 list_dot_product(a.e, b.e)::BIGINT AS score
+          FROM u a JOIN u b ON a.rid <> b.rid AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+    p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY aid ORDER BY score DESC, vec_id, rid) <= 5)
+    SELECT p.anchor_id, p.vec_id AS positive_id,
+           (row_number() OVER w)::INTEGER AS rank, n.vec_id AS negative_id,
+           p.score AS positive_score, n.score AS negative_score
+    FROM p JOIN s n ON n.aid = p.aid AND NOT n.same
+     AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score
+    WINDOW w AS (PARTITION BY p.aid, p.rid ORDER BY n.score DESC, n.vec_id, n.rid)
+    QUALIFY row_number() OVER w <= 10"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailloom.llm import (
-    decontamination, jaccard, ngram_trie, packing, quality_classifier, quality_rules, secrets, substrings, warc, wavelet,
+    decontamination, hard_negatives, jaccard, multi_index, ngram_trie, packing, quality_classifier, quality_rules, secrets, substrings, warc, wavelet,
 )
 from mailloom.llm.common import table
 
@@ -86,3 +86,15 @@ def op6_secret_forest(spark, sf_dir):
 @query
 def op7_elias_fano_lm(spark, sf_dir):
     return ngram_trie.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_inverted_multi_index(spark, sf_dir):
+    return multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_threshold_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
