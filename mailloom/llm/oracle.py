@@ -116,6 +116,32 @@ ORACLE["op11_inverted_multi_index"] = """
     FROM v LEFT JOIN c ON c.rid = v.rid LEFT JOIN m ON m.node = v.vec_id"""
 
 
+ORACLE["op12_son_phrases"] = r"""
+    WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, string_split_regex(translate(
+        coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+    w AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS ws FROM d),
+    g AS (SELECT lang, k, array_to_string(ws[p:p + k - 1], ' ') AS phrase FROM (
+        SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM w, (SELECT unnest([1, 2, 3]) AS k))),
+    f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+    n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+    s AS (SELECT lang, k AS words, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+    c AS (SELECT *, array_to_string(ws[:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y
+          FROM (SELECT *, unnest(range(1, words)) AS k FROM s)),
+    z AS (SELECT c.lang, c.phrase, c.a, c.words, c.k, x.a AS l, y.a AS r,
+                 (1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a))::BIGINT AS score
+          FROM c JOIN f x ON x.lang = c.lang AND x.phrase = c.x JOIN f y ON y.lang = c.lang AND y.phrase = c.y),
+    m AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    i AS (SELECT lang, phrase, max(a) AS longer FROM (
+        SELECT lang, a, unnest([array_to_string(ws[:2], ' '), array_to_string(ws[2:], ' ')]) AS phrase FROM s WHERE words = 3)
+        GROUP BY ALL),
+    o AS (SELECT m.* FROM m LEFT JOIN i ON i.lang = m.lang AND i.phrase = m.phrase
+          WHERE i.longer IS NULL OR 100 * i.longer < 50 * m.a)
+    SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+           phrase, a, l, r, n.n, score
+    FROM o JOIN n ON n.lang = o.lang
+    QUALIFY row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
+
 ORACLE["op13_threshold_negatives"] = """
     WITH v AS (SELECT row_number() OVER () AS rid, vec_id,
                CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding::DOUBLE[] AS e FROM embeddings),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailloom.llm import (
-    decontamination, hard_negatives, jaccard, multi_index, ngram_trie, packing, quality_classifier, quality_rules, secrets, substrings, warc, wavelet,
+    decontamination, hard_negatives, jaccard, multi_index, ngram_trie, packing, phrases, quality_classifier, quality_rules, secrets, substrings, warc, wavelet,
 )
 from mailloom.llm.common import table
 
@@ -93,6 +93,11 @@ def op11_inverted_multi_index(spark, sf_dir):
     return multi_index.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op12_son_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_threshold_negatives(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").withColumn(
