@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window, functions as F
 
 from mailloom.llm.common import kept, small_batches
 
@@ -32,9 +34,8 @@ SUPPORT = 10
 INSIDE = 50  # percent of a phrase's count in a longer one that make the phrase drop
 TOP = 2_000
 SHARDS = 4
-RUN_TOKENS = 2_000_000  # tokens that a task counts at once
-WORD_BITS, PHRASE_BITS = 24, 26  # sizes of the bitmaps: 2 MB and 8 MB
 UNKNOWN = "und"
+COUNTS = "lang string, phrase string, n long"
 
 ENDS = b".,;:!?\n\x0b\x0c\r"
 PIECES = bytes.maketrans(ENDS + b"\t", b"\n" * len(ENDS) + b" ")
@@ -42,42 +43,67 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 TURN = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """What a task or a bitmap holds; none of it changes a result."""
+
+    run_tokens: int = 2_000_000  # tokens that a task counts at once
+    word_bits: int = 24  # 2 MB
+    phrase_bits: int = 26  # 8 MB
+    part_bytes: int = 32 << 20  # hashes that one task sums up; their parts are 2**10 to 2**20
+
+
+class Numbers(dict):
+    """Words with their numbers; a new word takes the next one."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Run:
-    """Texts of one language and shard as numbers: a word's place in `words`, 0 for an end."""
+    """Texts of one language as numbers of words; 0 is the end of a piece."""
 
     def __init__(self) -> None:
-        self.words, self.parts, self.size = {b"\n": 0}, [], 0
+        self.words, self.parts, self.size = Numbers({b"\n": 0, b"": 1}), [], 0
 
     def add(self, text: str) -> None:
-        words = self.words
         tokens = text.encode().lower().translate(PIECES).replace(b"\n", b" \n ").split(b" ")
-        self.parts.append(np.fromiter((words.setdefault(t, len(words)) for t in tokens if t), "i8"))
-        self.parts.append(np.zeros(1, "i8"))
+        found = np.fromiter(map(self.words.__getitem__, tokens), "i8", len(tokens))
+        self.parts += [found[found != 1], np.zeros(1, "i8")]
         self.size += len(self.parts[-2]) + 1
 
     def tokens(self) -> np.ndarray:
         return np.concatenate(self.parts)
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, int, Run]]:
-    """Texts gathered by language and shard; all are handed on when RUN_TOKENS are held."""
+def _runs(batches: Iterator[pd.DataFrame], run_tokens: int) -> Iterator[tuple[str, Run]]:
+    """Texts gathered by language; all are handed on when run_tokens are held."""
     held, size = {}, 0
     for pdf in batches:
-        for lang, shard, text in zip(pdf["lang"], pdf["shard"], pdf["text"]):
-            run = held.setdefault((lang, shard), Run())
+        for lang, text in zip(pdf["lang"], pdf["text"]):
+            run = held.setdefault(lang, Run())
             size -= run.size
             run.add(text)
             size += run.size
-            if size >= RUN_TOKENS:
-                yield from ((*key, run) for key, run in held.items())
+            if size >= run_tokens:
+                yield from held.items()
                 held, size = {}, 0
-    yield from ((*key, run) for key, run in held.items())
+    yield from held.items()
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for lang, _, run in _runs(batches):
-        n = np.bincount(run.tokens(), minlength=len(run.words))[1:]
-        yield pd.DataFrame({"lang": lang, "phrase": [w.decode() for w in run.words][1:], "n": n})
+def _counts(lang: str, phrases: list[str], n: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"lang": pd.Series([lang] * len(n), dtype=object),
+                         "phrase": pd.Series(phrases, dtype=object), "n": n})
+
+
+def _count_words(bounds: Bounds):
+    def run_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lang, run in _runs(batches, bounds.run_tokens):
+            n = np.bincount(run.tokens(), minlength=len(run.words))[2:]
+            yield _counts(lang, [w.decode() for w in run.words][2:], n)
+
+    return run_
 
 
 def _slot(lang: str, words: list[bytes]) -> np.ndarray:
@@ -85,103 +111,137 @@ def _slot(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((zlib.crc32(w, start) for w in words), "i8", len(words))
 
 
-def _phrases(run: Run, lang: str, known: np.ndarray):
-    """For two and three words in turn: places, codes and hashes of all phrases of frequent words.
+def _phrases(run: Run, lang: str, known: np.ndarray, word_bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For two and three words in turn: places and hashes of all phrases of frequent words.
 
     Hashes are those of the words, mixed in order, so all tasks give a phrase the same one.
     """
     import xxhash
 
     words, tokens = list(run.words), run.tokens()
-    slots = _slot(lang, words) & ((1 << WORD_BITS) - 1)
+    slots = _slot(lang, words) & ((1 << word_bits) - 1)
     good = (known[slots >> 3] >> (slots & 7) & 1).astype(bool)
     good[0] = False
     mark = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), "u8", len(words))
     start = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
-    here = good[tokens]
-    at, code, hashed = np.flatnonzero(here), tokens[here], (start ^ mark[tokens[here]]) * MIX
+    here = np.append(good[tokens], [False, False])
+    at = np.flatnonzero(here)
+    hashed = (start ^ mark[tokens[at]]) * MIX
     for length in (2, 3):
-        on = at + length - 1 < len(tokens)
-        on[on] = here[at[on] + length - 1]
-        at, next_ = at[on], tokens[at[on] + length - 1]
-        # Codes stay small: each length is numbered anew before the next word joins it.
-        _, code = np.unique(code[on], return_inverse=True)
-        code = code * len(words) + next_
-        hashed = (hashed[on] ^ (hashed[on] >> np.uint64(29)) ^ mark[next_]) * (MIX if length == 2 else TURN)
-        yield length, at, code, hashed
+        on = here[at + length - 1]
+        at, hashed = at[on], hashed[on]
+        hashed = (hashed ^ (hashed >> np.uint64(29)) ^ mark[tokens[at + length - 1]]) * (MIX if length == 2 else TURN)
+        yield length, at, hashed
 
 
-def _mine(known: np.ndarray):
-    """Phrases of each run by hash, with shard and count."""
+def _width(lowered: int) -> str:
+    return "u1" if lowered < 256 else "u8"
+
+
+def _mine(known: Broadcast, bits: int, lowered: int, bounds: Bounds):
+    """Phrases of each run by hash, cut into parts by its leading bits. A task's texts belong to
+    one shard; counts beyond the lowered support are as good as that."""
 
     def run_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for lang, shard, run in _runs(batches):
-            for _, _, _, hashed in _phrases(run, lang, known):
-                found, n = np.unique(hashed, return_counts=True)
-                yield pd.DataFrame({"hash": found.view("i8"), "shard": np.int8(shard), "n": n})
+        from pyspark import TaskContext
+
+        shard = TaskContext.get().partitionId() % SHARDS
+        for lang, run in _runs(batches, bounds.run_tokens):
+            every = [h for _, _, h in _phrases(run, lang, known.value, bounds.word_bits)]
+            found, n = np.unique(np.concatenate(every), return_counts=True)
+            parts = (found >> np.uint64(64 - bits)).astype("i8")
+            own, starts = np.unique(parts, return_index=True)
+            ends = np.append(starts[1:], len(found))
+            n = np.minimum(n, lowered).astype(_width(lowered))
+            yield pd.DataFrame({
+                "part": own, "shard": shard,
+                "hashes": [found[s:e].tobytes() for s, e in zip(starts, ends)],
+                "counts": [n[s:e].tobytes() for s, e in zip(starts, ends)],
+            })
 
     return run_
 
 
-def _count(known: np.ndarray, wanted: np.ndarray):
+def _frequent(lowered: int, bits: int, phrase_bits: int):
+    """Of one part: a bitmap of the hashes that reach the lowered support in some shard."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = int(pdf["part"].iloc[0])
+        seen = np.zeros(1 << (phrase_bits - bits), bool)
+        for _, own in pdf.groupby("shard"):
+            hashes = np.frombuffer(b"".join(own["hashes"]), "u8")
+            counts = np.frombuffer(b"".join(own["counts"]), _width(lowered))
+            order = np.argsort(hashes)
+            hashes, counts = hashes[order], counts[order].astype("i8")
+            starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+            often = hashes[starts][np.add.reduceat(counts, starts) >= lowered]
+            seen[(often >> np.uint64(64 - phrase_bits)).astype("i8") - (part << (phrase_bits - bits))] = True
+        return pd.DataFrame({"part": [part], "bitmap": [np.packbits(seen, bitorder="little").tobytes()]})
+
+    return run
+
+
+def _count(known: Broadcast, wanted: Broadcast, bounds: Bounds):
     """Exact counts of the candidates of each run."""
 
     def run_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for lang, _, run in _runs(batches):
+        for lang, run in _runs(batches, bounds.run_tokens):
             words, tokens = [w.decode() for w in run.words], run.tokens()
-            for length, at, code, hashed in _phrases(run, lang, known):
-                bit = (hashed >> np.uint64(64 - PHRASE_BITS)).astype("i8")
-                on = (wanted[bit >> 3] >> (bit & 7) & 1).astype(bool)
-                _, first, n = np.unique(code[on], return_index=True, return_counts=True)
-                places = at[on][first]
-                yield pd.DataFrame({"lang": lang, "phrase": [
-                    " ".join([words[w] for w in tokens[p:p + length]]) for p in places], "n": n})
+            for length, at, hashed in _phrases(run, lang, known.value, bounds.word_bits):
+                bit = (hashed >> np.uint64(64 - bounds.phrase_bits)).astype("i8")
+                at = at[(wanted.value[bit >> 3] >> (bit & 7) & 1).astype(bool)]
+                code = tokens[at]
+                for i in range(1, length):
+                    if len(words) >= 1 << 21:  # of a very long text: codes must fit 64 bits
+                        code = np.unique(code, return_inverse=True)[1]
+                    code = code * len(words) + tokens[at + i]
+                _, first, n = np.unique(code, return_index=True, return_counts=True)
+                text = [[words[w] for w in tokens[at[first] + i]] for i in range(length)]
+                yield _counts(lang, list(map(" ".join, zip(*text))), n)
 
     return run_
 
 
-def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
-    """Column `slot` (0 to 2**bits - 1) as a bitmap; the driver gets at most 2**bits / 64 numbers."""
+def _word_bitmap(slots: DataFrame, word_bits: int) -> np.ndarray:
+    """Column `slot` (0 to 2**word_bits - 1) as a bitmap; the driver gets at most 2**word_bits / 64 numbers."""
     long = slots.groupBy(F.expr("slot div 64").alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toPandas()
-    words = np.zeros(1 << max(bits - 6, 0), "i8")
+    words = np.zeros(1 << max(word_bits - 6, 0), "i8")
     words[long["at"].to_numpy("i8")] = long["bits"].to_numpy("i8")
     return words.view("u1")
 
 
-def _sent(spark: SparkSession, bitmap: np.ndarray):
-    return spark.sparkContext.broadcast(bitmap)
+def _phrase_bitmap(local: DataFrame, lowered: int, bits: int, phrase_bits: int) -> np.ndarray:
+    """Candidates of all shards as a bitmap; the driver gets its parts, 2**phrase_bits bits in all."""
+    each = (1 << (phrase_bits - bits)) // 8
+    wanted = np.zeros(1 << (phrase_bits - 3), "u1")
+    often = _frequent(lowered, bits, phrase_bits)
+    for row in local.groupBy("part").applyInPandas(often, "part long, bitmap binary").collect():
+        wanted[row.part * each:(row.part + 1) * each] = np.frombuffer(row.bitmap, "u1")
+    return wanted
 
 
-def counted(docs: DataFrame, support: int = SUPPORT, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+def counted(docs: DataFrame, support: int = SUPPORT, bounds: Bounds = Bounds()) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n) of all words and phrases of two and three words that occur at least
     `support` times, and (lang, n): all words of each language."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    # Copies of a text share a shard, which makes its counts higher and its candidates fewer.
+    context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     texts = docs.select(
-        F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    ).filter("text <> ''").withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(SHARDS)).cast("int"))
-    words = kept(texts.mapInPandas(_count_words, "lang string, phrase string, n long")
+        F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text")
+    ).filter("text <> ''")
+    words = kept(texts.mapInPandas(_count_words(bounds), COUNTS)
                  .groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "words")
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    total = words.agg(F.sum("n")).first()[0] or 0
     frequent = words.filter(F.col("n") >= support)
-    slot = F.crc32(F.concat("lang", F.lit("\t"), "phrase")).bitwiseAND(F.lit((1 << WORD_BITS) - 1))
-    known = _sent(spark, _bitmap(frequent.select(slot.alias("slot")), WORD_BITS))
+    slot = F.crc32(F.concat("lang", F.lit("\t"), "phrase")).bitwiseAND(F.lit((1 << bounds.word_bits) - 1))
+    known = context.broadcast(_word_bitmap(frequent.select(slot.alias("slot")), bounds.word_bits))
+    # A word starts at most two phrases, of nine bytes each.
+    bits = min(20, bounds.phrase_bits - 3, max(10, (18 * total // bounds.part_bytes).bit_length()))
     lowered = -(-support // SHARDS)
-
-    def mine(batches):
-        yield from _mine(known.value)(batches)
-
-    local = texts.mapInPandas(mine, "hash long, shard byte, n long").groupBy("hash", "shard").agg(
-        F.sum("n").alias("n")).filter(F.col("n") >= lowered)
-    place = F.shiftrightunsigned("hash", 64 - PHRASE_BITS)
-    wanted = _sent(spark, _bitmap(local.select(place.alias("slot")), PHRASE_BITS))
-
-    def count(batches):
-        yield from _count(known.value, wanted.value)(batches)
-
-    phrases = texts.mapInPandas(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(
+    local = texts.mapInPandas(_mine(known, bits, lowered, bounds), "part long, shard int, hashes binary, counts binary")
+    wanted = context.broadcast(_phrase_bitmap(local, lowered, bits, bounds.phrase_bits))
+    phrases = texts.mapInPandas(_count(known, wanted, bounds), COUNTS).groupBy("lang", "phrase").agg(
         F.sum("n").alias("n")).filter(F.col("n") >= support)
     every = kept(frequent.select("lang", "phrase", "n").unionByName(phrases)
                  .withColumn("words", F.size(F.split("phrase", " "))), "phrases")
@@ -226,10 +286,10 @@ def _standing(scored: DataFrame, every: DataFrame) -> DataFrame:
     return held.filter(F.expr(f"longer IS NULL OR longer * 100BD < a * {INSIDE}BD")).drop("longer")
 
 
-def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP, bounds: Bounds = Bounds()) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first `top` phrases of each language by score,
     count (both downwards) and phrase (by its bytes)."""
-    every, sizes = counted(docs, support)
+    every, sizes = counted(docs, support, bounds)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = _standing(_scored(every), every).withColumn(
         "rank", F.row_number().over(order)).filter(F.col("rank") <= top)
