@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from mailloom.functions.text import iso_text
-from mailloom.operators.rules import resolve_rules
+from mailloom.operators.rules import RESOLVED, resolve_rules
 from mailloom.schemas import CLASSIFICATION, KEY, MANIFEST_COLUMNS
 from mailloom.taxonomy import Taxonomy
 
@@ -64,42 +66,60 @@ def as_records(decided: DataFrame, taxonomy: Taxonomy, run_ts: Column, run_seq:
     return decided.select(*[values.get(c, F.col(c)).alias(c) for c in CLASSIFICATION.names])
 
 
+@dataclass
+class RulesCount:
+    """Counts of a rules pass, observed on the rows it writes: no pass of their own."""
+
+    resolved: Observation = field(default_factory=Observation)
+    decided: Observation = field(default_factory=Observation)
+
+    def values(self) -> dict[str, int]:
+        """scanned, written, unchanged, uncovered, once the records are written."""
+        scanned, covered = (self.resolved.get.get(k) or 0 for k in ("scanned", "covered"))
+        unchanged = self.decided.get.get("unchanged") or 0
+        return {"scanned": scanned, "written": covered - unchanged, "unchanged": unchanged,
+                "uncovered": scanned - covered}
+
+
 def rules_pass(messages: DataFrame, rules: DataFrame, log: DataFrame, taxonomy: Taxonomy,
-               keyword_authoritative: bool = True) -> DataFrame:
+               keyword_authoritative: bool = True, count: RulesCount | None = None) -> DataFrame:
     """Covered messages with what the rules say and the latest tag of each.
 
     Uncovered ones are left out before the join, so they are never shuffled.
     """
-    covered = resolve_rules(messages, rules, taxonomy, keyword_authoritative).filter(
-        "resolved_tag IS NOT NULL"
-    ).select(*KEY, "resolved_tag", "resolved_subtag", "method", "confidence")
-    return latest_tag(covered, log, taxonomy.content_hash)
+    resolved = resolve_rules(messages, rules, taxonomy, keyword_authoritative).select(*KEY, *RESOLVED)
+    if count:
+        resolved = resolved.observe(count.resolved, F.count(F.lit(1)).alias("scanned"),
+                                    F.count("resolved_tag").alias("covered"))
+    decided = latest_tag(resolved.filter("resolved_tag IS NOT NULL"), log, taxonomy.content_hash)
+    if count:
+        same = F.col("resolved_tag").eqNullSafe(F.col("latest_tag"))
+        decided = decided.observe(count.decided, F.count_if(same).alias("unchanged"))
+    return decided
 
 
 def classify_rules(messages: DataFrame, rules: DataFrame, log: DataFrame, taxonomy: Taxonomy,
-                   run_ts: Column, run_seq: int,
-                   keyword_authoritative: bool = True) -> DataFrame:
+                   run_ts: Column, run_seq: int, keyword_authoritative: bool = True,
+                   count: RulesCount | None = None) -> DataFrame:
     """Records to append: covered messages whose tag differs from their latest."""
-    decided = rules_pass(messages, rules, log, taxonomy, keyword_authoritative)
+    decided = rules_pass(messages, rules, log, taxonomy, keyword_authoritative, count)
     changed = decided.filter(~F.col("resolved_tag").eqNullSafe(F.col("latest_tag")))
     return as_records(changed, taxonomy, run_ts, run_seq, "resolved_tag", "resolved_subtag")
 
 
 def classify_metrics(messages: DataFrame, rules: DataFrame, log: DataFrame, taxonomy: Taxonomy,
                      keyword_authoritative: bool = True) -> DataFrame:
-    """scanned, written, unchanged, uncovered of a rules pass."""
-    decided = rules_pass(messages, rules, log, taxonomy, keyword_authoritative).agg(
-        F.count("*").alias("covered"),
-        F.count_if(F.col("resolved_tag").eqNullSafe(F.col("latest_tag"))).alias("unchanged"),
-    )
-    scanned = messages.agg(F.count("*").alias("scanned"))
-    # Two one-row results side by side.
-    return scanned.join(decided, F.lit(True)).select(
-        "scanned",
-        (F.col("covered") - F.col("unchanged")).alias("written"),
-        "unchanged",
-        (F.col("scanned") - F.col("covered")).alias("uncovered"),
-    )
+    """scanned, written, unchanged, uncovered of a rules pass, in one pass.
+
+    A job that writes the records has them from RulesCount.
+    """
+    resolved = resolve_rules(messages, rules, taxonomy, keyword_authoritative).select(*KEY, "resolved_tag")
+    same = F.col("resolved_tag").eqNullSafe(F.col("latest_tag"))
+    return latest_tag(resolved, log, taxonomy.content_hash).agg(
+        F.count("*").alias("scanned"), F.count("resolved_tag").alias("covered"),
+        F.count_if(F.col("resolved_tag").isNotNull() & same).alias("unchanged"),
+    ).select("scanned", (F.col("covered") - F.col("unchanged")).alias("written"), "unchanged",
+             (F.col("scanned") - F.col("covered")).alias("uncovered"))
 
 
 def llm_residue(messages: DataFrame, rules: DataFrame, log: DataFrame, taxonomy: Taxonomy,
@@ -108,8 +128,12 @@ def llm_residue(messages: DataFrame, rules: DataFrame, log: DataFrame, taxonomy:
     open_ = resolve_rules(messages, rules, taxonomy, keyword_authoritative).filter(
         "resolved_tag IS NULL"
     ).select(*messages.columns)
-    done = log.filter(F.col("taxonomy_hash") == taxonomy.content_hash).select(*KEY)
-    return open_.join(done, KEY, "left_anti")
+    return without_record(open_, log, taxonomy.content_hash)
+
+
+def without_record(messages: DataFrame, log: DataFrame, taxonomy_hash: str) -> DataFrame:
+    done = log.filter(F.col("taxonomy_hash") == taxonomy_hash).select(*KEY)
+    return messages.join(done, KEY, "left_anti")
 
 
 def llm_limit(residue: DataFrame, n: int | None) -> DataFrame:

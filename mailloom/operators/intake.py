@@ -59,23 +59,34 @@ def index_messages(raw: DataFrame, taxonomy: Taxonomy, extra: tuple[str, ...] =
 # --- generations and resume ---------------------------------------------------
 
 
-def current_generations(raw: DataFrame, cursor: DataFrame | None = None,
-                        run_ts: Column | None = None) -> DataFrame:
-    """(folder, uidvalidity, generation_at): the generation fetched last per folder.
+def generation_state(raw: DataFrame, cursor: DataFrame | None = None,
+                     run_ts: Column | None = None) -> DataFrame:
+    """(folder, uidvalidity, generation_at, rolled): the generation fetched last per folder of
+    `raw`, and whether it differs from the one of the cursor.
 
     The test is by time, not by number. Rows without fetch time count as of now. A
     known cursor takes part, so late rows of an older generation do not revive it.
+    One aggregate over the rows and one row per folder of the cursor.
     """
     now = run_ts if run_ts is not None else F.lit(None).cast("timestamp_ntz")
     seen = raw.select("folder", "uidvalidity", F.coalesce("fetched_at", now).alias("at"))
-    seen = seen.groupBy("folder", "uidvalidity").agg(F.max("at").alias("at"))
+    seen = seen.groupBy("folder", "uidvalidity").agg(F.max("at").alias("at")).withColumn(
+        "old", F.lit(None).cast("bigint"))
     if cursor is not None:
-        known = cursor.join(seen.select("folder").distinct(), "folder", "left_semi")
-        seen = seen.unionByName(known.select("folder", "uidvalidity", F.col("generation_at").alias("at")))
-    best = F.max(F.struct("at", "uidvalidity"))
-    return seen.groupBy("folder").agg(best.alias("best")).select(
-        "folder", "best.uidvalidity", F.col("best.at").alias("generation_at")
-    )
+        seen = seen.unionByName(cursor.select(
+            "folder", "uidvalidity", F.col("generation_at").alias("at"), F.col("uidvalidity").alias("old")))
+    return seen.groupBy("folder").agg(
+        F.max(F.struct("at", "uidvalidity")).alias("best"), F.max("old").alias("old"),
+        F.bool_or(F.col("old").isNull()).alias("here"),
+    ).filter("here").select(
+        "folder", "best.uidvalidity", F.col("best.at").alias("generation_at"),
+        F.coalesce(F.col("best.uidvalidity") != F.col("old"), F.lit(False)).alias("rolled"))
+
+
+def current_generations(raw: DataFrame, cursor: DataFrame | None = None,
+                        run_ts: Column | None = None) -> DataFrame:
+    """(folder, uidvalidity, generation_at) of generation_state."""
+    return generation_state(raw, cursor, run_ts).drop("rolled")
 
 
 def rolled_over(generations: DataFrame, cursor: DataFrame) -> DataFrame:
@@ -245,6 +256,25 @@ def distinct_message_count(messages: DataFrame, approximate: bool = False) -> Da
     return messages.agg(n.alias("distinct_messages"))
 
 
+SKETCH_BITS = 14  # 2**14 registers: a standard error below one percent
+
+
+def id_sketches(messages: DataFrame) -> DataFrame:
+    """(folder, sketch): a HyperLogLog sketch of the Message-IDs of each folder.
+
+    Sketches of any parts merge into that of the whole. The empty id, which a sketch would
+    leave out, counts as one value, as in the exact count.
+    """
+    marked = F.concat(F.lit("\x01"), F.col("message_id"))
+    return messages.groupBy("folder").agg(F.hll_sketch_agg(marked, F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def distinct_message_estimate(sketches: DataFrame) -> DataFrame:
+    """Distinct Message-IDs by merged sketches; see distinct_message_count for the exact number."""
+    merged = F.hll_sketch_estimate(F.hll_union_agg("sketch"))
+    return sketches.agg(F.coalesce(merged, F.lit(0)).alias("distinct_messages"))
+
+
 def sync_metrics(stats: DataFrame, inserted: DataFrame, rolled: DataFrame) -> DataFrame:
     """fetched, inserted, deduped, resynced per folder of the run."""
     n_inserted = inserted.groupBy("folder").agg(F.count("*").alias("inserted"))

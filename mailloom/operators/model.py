@@ -1,14 +1,16 @@
 """The model path: payloads, calls, one retry, checked outcomes, abstention.
 
-A completer is any function (system, user, sampling) -> reply text. It comes from
-a factory that can be pickled, and each Python worker task makes its own. A table
-of recorded replies can take its place.
+A completer is any function (system, user, sampling) -> reply text, or, with `listed`,
+(system, [user, ...], sampling) -> [reply text, ...] for at most that many users at once,
+so that a client can send them together. It comes from a factory that can be pickled, and
+each Python worker task makes its own. A table of recorded replies can take its place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -22,7 +24,8 @@ from mailloom.schemas import KEY
 from mailloom.taxonomy import Taxonomy
 
 Completer = Callable[[str, str, dict], str | None]
-CompleterFactory = Callable[[], Completer]
+ListCompleter = Callable[[str, list[str], dict], list[str | None]]
+CompleterFactory = Callable[[], Completer | ListCompleter]
 
 
 def build_payload(messages: DataFrame, taxonomy: Taxonomy,
@@ -58,7 +61,7 @@ def replay(payloads: DataFrame, replies: DataFrame, attempt: int, out: str) -> D
 
 
 def complete(payloads: DataFrame, factory: CompleterFactory, system: str, out: str,
-             wanted: str | None = None) -> DataFrame:
+             wanted: str | None = None, listed: int = 0) -> DataFrame:
     """Add the model's reply text; only rows where `wanted` is true are sent.
 
     All rows pass through in one stream of Arrow batches, so a second attempt
@@ -66,14 +69,25 @@ def complete(payloads: DataFrame, factory: CompleterFactory, system: str, out: s
     """
     sampling = dict(fixed.SAMPLING)
 
+    def replies(call, users: list[str]) -> list[str | None]:
+        if not listed:
+            return [call(system, user, sampling) for user in users]
+        found: list[str | None] = []
+        for at in range(0, len(users), listed):
+            some = users[at:at + listed]
+            answers = list(call(system, some, sampling))
+            if len(answers) != len(some):
+                raise ValueError(f"{len(some)} payloads were sent, {len(answers)} replies came back")
+            found += answers
+        return found
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = factory()
         for batch in batches:
-            asked = batch[wanted] if wanted else [True] * len(batch)
-            batch[out] = [
-                call(system, user, sampling) if ask else None
-                for user, ask in zip(batch["payload"], asked)
-            ]
+            asked = batch[wanted].to_numpy(bool) if wanted else np.ones(len(batch), bool)
+            answers = np.full(len(batch), None, object)
+            answers[asked] = replies(call, batch["payload"][asked].tolist())
+            batch[out] = answers
             yield batch
 
     schema = StructType([*payloads.schema.fields, StructField(out, StringType())])
@@ -82,7 +96,7 @@ def complete(payloads: DataFrame, factory: CompleterFactory, system: str, out: s
 
 def with_replies(payloads: DataFrame, taxonomy: Taxonomy,
                  factory: CompleterFactory | None = None,
-                 replies: DataFrame | None = None) -> DataFrame:
+                 replies: DataFrame | None = None, listed: int = 0) -> DataFrame:
     """Add `reply`: the first valid of two attempts, null when both fail."""
     if factory is None:
         # Both attempts of a message become one row, so the messages shuffle once.
@@ -93,12 +107,12 @@ def with_replies(payloads: DataFrame, taxonomy: Taxonomy,
         second = with_parsed_reply(first, "raw2", "reply2")
     else:
         system = taxonomy.system_prompt()
-        first = with_parsed_reply(complete(payloads, factory, system, "raw1"), "raw1", "reply1")
+        first = with_parsed_reply(complete(payloads, factory, system, "raw1", listed=listed), "raw1", "reply1")
         # The checked reply passes through Python as text.
         flat = first.withColumn("again", F.col("reply1").isNull()).withColumn(
             "reply1", F.to_json("reply1")
         )
-        asked = complete(flat, factory, system, "raw2", "again").drop("again")
+        asked = complete(flat, factory, system, "raw2", "again", listed).drop("again")
         back = asked.withColumn("reply1", F.from_json("reply1", PARSED))
         second = with_parsed_reply(back, "raw2", "reply2")
     return second.withColumn("reply", F.coalesce("reply1", "reply2")).drop(
@@ -111,9 +125,9 @@ def with_replies(payloads: DataFrame, taxonomy: Taxonomy,
 
 def classify_llm(payloads: DataFrame, taxonomy: Taxonomy, model_id: str,
                  factory: CompleterFactory | None = None,
-                 replies: DataFrame | None = None) -> DataFrame:
+                 replies: DataFrame | None = None, listed: int = 0) -> DataFrame:
     """Key, tag, subtag, confidence, rationale, truncated and provenance."""
-    outcome = with_outcome(with_replies(payloads, taxonomy, factory, replies), taxonomy)
+    outcome = with_outcome(with_replies(payloads, taxonomy, factory, replies, listed), taxonomy)
     return outcome.select(
         *KEY, "tag", "subtag", "confidence", "rationale", "truncated",
         F.lit(model_id).alias("model_id"), F.lit(fixed.PROMPT_VERSION).alias("prompt_version"),
@@ -124,16 +138,19 @@ def classify_llm_batch(residue: DataFrame, taxonomy: Taxonomy, model_id: str, ru
                        run_seq: int, factory: CompleterFactory | None = None,
                        replies: DataFrame | None = None,
                        threshold: float = fixed.CONFIDENCE_THRESHOLD,
-                       budget: int = fixed.PAYLOAD_TOKEN_BUDGET) -> DataFrame:
+                       budget: int = fixed.PAYLOAD_TOKEN_BUDGET, listed: int = 0) -> DataFrame:
     """Records of a model run over the residue (cut it with llm_limit before)."""
     payloads = build_payload(residue, taxonomy, budget, KEY)
-    outcome = abstain(classify_llm(payloads, taxonomy, model_id, factory, replies), threshold)
+    outcome = abstain(classify_llm(payloads, taxonomy, model_id, factory, replies, listed), threshold)
     named = outcome.withColumn("method", F.lit("llm"))
     return as_records(named, taxonomy, run_ts, run_seq, "tag", "subtag")
 
 
+def llm_counts() -> list[Column]:
+    """Measures of a model run, for an aggregate or an observation."""
+    return [F.count(F.lit(1)).alias("called"),
+            F.count_if(F.col("tag") == fixed.UNCLASSIFIED).alias("unclassified")]
+
+
 def llm_metrics(records: DataFrame) -> DataFrame:
-    return records.agg(
-        F.count("*").alias("called"),
-        F.count_if(F.col("tag") == fixed.UNCLASSIFIED).alias("unclassified"),
-    )
+    return records.agg(*llm_counts())

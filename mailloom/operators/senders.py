@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import (
+    ArrayType, LongType, StringType, StructField, StructType, TimestampNTZType,
+)
 
 from mailloom import fixed
 from mailloom.session import BROADCAST_ROWS
@@ -21,9 +24,12 @@ def sender_stats(messages: DataFrame) -> DataFrame:
     Counts go per (sender, hint) first: all buffers are fixed width, so map tasks
     combine in a hash map and a hot sender leaves each task as a few rows.
     """
-    per_hint = messages.groupBy("from_addr", "from_domain", "keyword_hint").agg(
+    return _per_sender(messages.groupBy("from_addr", "from_domain", "keyword_hint").agg(
         F.count("*").alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi")
-    )
+    ))
+
+
+def _per_sender(per_hint: DataFrame) -> DataFrame:
     hint = F.nullif("keyword_hint", F.lit(""))
     # Most frequent hint; of equals the smallest.
     best = F.min(F.when(hint.isNotNull(), F.struct((-F.col("n")).alias("n"), hint.alias("hint"))))
@@ -98,3 +104,65 @@ def domain_rollup(profiles: DataFrame) -> DataFrame:
     return profiles.filter("from_domain != ''").groupBy("from_domain").agg(
         F.sum("message_count").alias("message_count")
     )
+
+
+# --- partial profiles: made by run or by folder, merged on read ---------------------------
+
+_GROUP = ["folder", "from_addr", "from_domain", "hint"]
+PARTIAL = StructType([
+    *[StructField(c, StringType()) for c in _GROUP], StructField("n", LongType()),
+    StructField("lo", TimestampNTZType()), StructField("hi", TimestampNTZType()),
+    StructField("firsts", ArrayType(StructType([
+        StructField("uidvalidity", LongType()), StructField("uid", LongType()),
+        StructField("subject", StringType()),
+    ]))),
+])
+
+
+def profile_partials(messages: DataFrame, k: int = EXAMPLES) -> DataFrame:
+    """Count, span and first k subjects by folder, sender and hint.
+
+    Partials of disjoint messages merge into the profiles of all of them. Both sides are
+    cut in the map tasks and end partitioned alike, so the join adds no shuffle.
+    """
+    rows = messages.withColumn("hint", F.coalesce("keyword_hint", F.lit("")))
+    counts = rows.groupBy(*_GROUP).agg(
+        F.count("*").alias("n"), F.min("date").alias("lo"), F.max("date").alias("hi"))
+    w = Window.partitionBy(*_GROUP).orderBy("uidvalidity", "uid")
+    firsts = (
+        rows.select(*_GROUP, "uidvalidity", "uid", "subject")
+        .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+        .groupBy(*_GROUP).agg(F.array_sort(F.collect_list(
+            F.struct("uidvalidity", "uid", "subject"))).alias("firsts"))
+    )
+    return counts.join(firsts, _GROUP).select(*PARTIAL.names)
+
+
+def merged_stats(partials: DataFrame) -> DataFrame:
+    """As sender_stats, from partials."""
+    return _per_sender(partials.groupBy("from_addr", "from_domain", "hint").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    ).withColumnRenamed("hint", "keyword_hint"))
+
+
+def _first_of_partials(partials: DataFrame) -> DataFrame:
+    return first_subject_rows(partials.select("from_addr", "folder", F.inline("firsts")))
+
+
+def merged_profiles(partials: DataFrame) -> DataFrame:
+    """As sender_profiles, from partials: none of the messages is read."""
+    subjects = _first_of_partials(partials).groupBy("from_addr").agg(
+        _collect_subjects().alias("example_subjects"))
+    return merged_stats(partials).join(subjects, "from_addr").select(*PROFILE, "example_subjects")
+
+
+def merged_top_senders(partials: DataFrame, n: int = fixed.TOP_SENDERS) -> DataFrame:
+    """As top_senders, from partials."""
+    top = merged_stats(partials).orderBy(*by_rank()).limit(n)
+    side = F.broadcast(top) if n <= BROADCAST_ROWS else top
+    own = partials.select("from_addr", "folder", "firsts").join(side, "from_addr")
+    return (
+        first_subject_rows(own.select(*PROFILE, "folder", F.inline("firsts")))
+        .groupBy(*PROFILE).agg(_collect_subjects().alias("example_subjects"))
+        .orderBy(*by_rank())
+    )

@@ -5,9 +5,11 @@ Each job plans with the operators and writes once; drivers see counts only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from mailloom import fixed
 from mailloom.operators import audit as audits
@@ -15,12 +17,16 @@ from mailloom.operators import classify as classes
 from mailloom.operators import intake, model, reports, review, rules as ruling, senders, summary
 from mailloom.operators.decisions import accept_hints, judge_decisions
 from mailloom.schemas import CURSOR, KEY, MESSAGE
-from mailloom.session import narrowed, settled
+from mailloom.session import fresh_path, observed, settled
 from mailloom.sources import sinks, state as tables
 from mailloom.sources.state import State
 from mailloom.taxonomy import Taxonomy
 
 
+# What a payload is made of.
+PAYLOAD = ["from_addr", "subject", "date", "snippet"]
+
+
 def _stamp(at: datetime):
     return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
 
@@ -53,33 +59,32 @@ def ingest_indexed(spark: SparkSession, state: State, rows: DataFrame, run_ts: d
     if folders:
         rows = rows.filter(F.col("folder").isin(folders))
     now = _stamp(run_ts)
-    last = tables.committed_batch(spark, state)
-    run = last + 1
-    cursor = tables.read_cursor(spark, state, last)
+    head = tables.read_head(spark, state)
+    run = head.batch + 1
+    cursor = tables.read_cursor(spark, state, head)
     # Tables of one row per folder, written so that their true size is known: the
     # joins by folder then broadcast them and a hot folder is never shuffled.
-    generations = settled(intake.current_generations(rows, cursor, now))
-    rolled = settled(intake.rolled_over(generations, cursor))
-    stored = tables.read_messages(spark, state, last)
-    kept = intake.drop_folders(stored, rolled)
+    generations, seen = observed(intake.generation_state(rows, cursor, now),
+                                 F.count_if("rolled").alias("rolled"))
+    rolled = generations.filter("rolled").select("folder")
     current = rows.join(generations, ["folder", "uidvalidity"], "left_semi")
     if streamed:
-        known = narrowed(kept.select(*KEY), current, KEY, current.count())
-        fetched = current.join(known, KEY, "left_anti")
+        # Keys of a dropped folder are of another generation, so none of them is met.
+        fetched = current.join(tables.stored_keys(spark, state, rows, head), KEY, "left_anti")
     else:
         fetched = intake.incremental_scan(current, cursor, full)
-    stats = settled(intake.fetch_stats(fetched))
-    n = stats.agg(F.sum("fetched")).first()[0] or 0
+    stats, sums = observed(intake.fetch_stats(fetched), F.sum("fetched").alias("fetched"))
+    n = sums.get("fetched") or 0
     batch = fetched.select(*MESSAGE.names)
-    # What is stored under the ids of this batch; a small batch shuffles no history.
-    met = narrowed(kept.select(*KEY, "message_id"), batch, ["message_id"], n)
-    released = None
-    if not rolled.isEmpty():
-        released = stored.join(rolled, "folder", "left_semi").select("folder", "message_id")
+    if full:
+        kept = intake.drop_folders(tables.read_messages(spark, state, head), rolled)
     if full and refresh:
-        fresh = intake.dedup_refresh(batch, met, folders)
+        fresh = intake.dedup_refresh(batch, kept.select(*KEY, "message_id"), folders)
     else:
-        fresh = intake.dedup_messages(batch, met, folders, released)
+        # What is stored under the ids of this batch; a small batch reads little of it.
+        met = tables.stored_ids(spark, state, batch, n, head)
+        released = met.join(rolled, "folder", "left_semi") if seen.get("rolled") else None
+        fresh = intake.dedup_messages(batch, intake.drop_folders(met, rolled), folders, released)
     fresh = fresh.select(*MESSAGE.names)
     if full:
         fresh = settled(fresh)
@@ -87,7 +92,7 @@ def ingest_indexed(spark: SparkSession, state: State, rows: DataFrame, run_ts: d
         tables.write_batch(intake.upsert_messages(own, fresh), state, "messages", run)
     else:
         tables.write_batch(fresh, state, "messages", run)
-        fresh = spark.read.parquet(state.path("messages", f"batch_id={run}"))
+        fresh = spark.read.schema(MESSAGE).parquet(state.path("messages", f"batch_id={run}"))
     tables.write_batch(intake.sync_metrics(stats, fresh, rolled), state, "metrics", run)
     moved = intake.advance_cursor(stats, generations, cursor, now, full)
     tables.commit_cursor(_with_life(moved, generations, cursor, rolled, run, full), state, run)
@@ -156,13 +161,25 @@ def classify_rules(spark: SparkSession, state: State, taxonomy: Taxonomy, run_ts
     rules = settled(tables.read_rules(spark, state))
     log = tables.read_classifications(spark, state)
     run = tables.next_run(spark, state)
-    metrics = settled(
-        classes.classify_metrics(messages, rules, log, taxonomy, keyword_authoritative)
-    )
+    count = classes.RulesCount()
     records = classes.classify_rules(messages, rules, log, taxonomy, _stamp(run_ts), run,
-                                     keyword_authoritative)
+                                     keyword_authoritative, count)
     tables.append_classification(records, state, taxonomy.content_hash, run)
-    return metrics
+    names = ["scanned", "written", "unchanged", "uncovered"]
+    values = count.values()
+    return spark.createDataFrame([tuple(values[n] for n in names)], ", ".join(f"{n} BIGINT" for n in names))
+
+
+def _in_chunks(residue: DataFrame, rows: int, chunk_rows: int) -> tuple[DataFrame, int]:
+    """The residue in the shared folder, one partition folder for each chunk of about
+    `chunk_rows` messages, so that a chunk reads its own rows only."""
+    spark = residue.sparkSession
+    chunks = -(-rows // chunk_rows)
+    path = fresh_path(spark, "residue")
+    dealt = residue.withColumn("chunk", F.pmod(F.xxhash64(*KEY), F.lit(max(chunks, 1))).cast("int"))
+    dealt.repartition("chunk").write.partitionBy("chunk").parquet(path)
+    schema = StructType([*residue.schema.fields, StructField("chunk", IntegerType())])
+    return spark.read.schema(schema).parquet(path), chunks
 
 
 def classify_llm_batch(spark: SparkSession, state: State, taxonomy: Taxonomy, model_id: str,
@@ -170,28 +187,45 @@ def classify_llm_batch(spark: SparkSession, state: State, taxonomy: Taxonomy, mo
                        replies: DataFrame | None = None, limit: int | None = None,
                        keyword_authoritative: bool = True,
                        threshold: float = fixed.CONFIDENCE_THRESHOLD,
-                       partitions: int | None = None) -> DataFrame:
+                       partitions: int | None = None, chunk_rows: int = 50_000, listed: int = 0,
+                       budget: int = fixed.PAYLOAD_TOKEN_BUDGET,
+                       on_chunk: Callable[[int, int], None] | None = None) -> DataFrame:
     """Send the residue to the model once and append; returns called, unclassified.
 
-    `partitions` sets over how many tasks the calls are spread.
+    The residue goes in chunks of about `chunk_rows`, each committed as a run of its own:
+    a job that is killed keeps its chunks, and the next one does not call them again.
+    Between chunks the residue is taken anew, so what another writer has classified is not
+    sent. `partitions` sets over how many tasks the calls of a chunk are spread, `listed`
+    how many payloads a list completer gets at once. `on_chunk(called, total)` tells progress.
     """
     messages = tables.read_messages(spark, state)
     rules = settled(tables.read_rules(spark, state))
-    log = tables.read_classifications(spark, state)
-    run = tables.next_run(spark, state)
+    head = tables.read_head(spark, state)
+    log = tables.read_classifications(spark, state, head)
     residue = classes.llm_limit(
         classes.llm_residue(messages, rules, log, taxonomy, keyword_authoritative), limit
-    )
-    if partitions or limit is not None:
-        # A limit leaves one partition; the calls are spread again.
-        residue = residue.repartition(partitions or spark.sparkContext.defaultParallelism)
-    records = model.classify_llm_batch(residue, taxonomy, model_id, _stamp(run_ts), run,
-                                       factory, replies, threshold)
-    tables.append_classification(records, state, taxonomy.content_hash, run)
-    written = tables.read_classifications(spark, state).filter(
-        (F.col("taxonomy_hash") == taxonomy.content_hash) & (F.col("run_seq") == run)
-    )
-    return model.llm_metrics(written)
+    ).select(*KEY, *PAYLOAD)
+    waiting, sums = observed(residue, F.count(F.lit(1)).alias("n"))
+    total = sums.get("n") or 0
+    dealt, chunks = _in_chunks(waiting, total, chunk_rows) if total > chunk_rows else (
+        waiting.withColumn("chunk", F.lit(0)), min(total, 1))
+    called = unclassified = 0
+    for chunk in range(chunks):
+        since = tables.read_classifications(spark, state).filter(F.col("run_seq") > head.classifications)
+        open_ = classes.without_record(dealt.filter(F.col("chunk") == chunk).drop("chunk"), since,
+                                       taxonomy.content_hash)
+        open_ = open_.repartition(partitions or spark.sparkContext.defaultParallelism)
+        run = tables.next_run(spark, state)
+        records = model.classify_llm_batch(open_, taxonomy, model_id, _stamp(run_ts), run, factory,
+                                           replies, threshold, budget, listed)
+        count = Observation()
+        tables.append_classification(records.observe(count, *model.llm_counts()), state,
+                                     taxonomy.content_hash, run)
+        called += count.get.get("called") or 0
+        unclassified += count.get.get("unclassified") or 0
+        if on_chunk:
+            on_chunk(called, total)
+    return spark.createDataFrame([(called, unclassified)], "called BIGINT, unclassified BIGINT")
 
 
 # --- exports, audit, summary ------------------------------------------------------------------

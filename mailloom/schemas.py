@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql.types import (
-    ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, MapType, StringType,
+    ArrayType, BinaryType, BooleanType, DataType, DoubleType, IntegerType, LongType, MapType, StringType,
     StructField, StructType, TimestampNTZType,
 )
 
 _TYPES: dict[str, DataType] = {
     "STRING": StringType(), "BIGINT": LongType(), "INT": IntegerType(), "DOUBLE": DoubleType(),
-    "BOOLEAN": BooleanType(), "TIMESTAMP_NTZ": TimestampNTZType(),
+    "BOOLEAN": BooleanType(), "BINARY": BinaryType(), "TIMESTAMP_NTZ": TimestampNTZType(),
     "ARRAY<STRING>": ArrayType(StringType()), "MAP<STRING,STRING>": MapType(StringType(), StringType()),
 }
 
@@ -90,3 +90,5 @@ MANIFEST_COLUMNS = [
 METRICS = struct(
     "folder STRING, fetched BIGINT, inserted BIGINT, deduped BIGINT, resynced BOOLEAN"
 )
+
+SKETCH = struct("folder STRING, sketch BINARY")
