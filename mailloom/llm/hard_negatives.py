@@ -131,11 +131,13 @@ class Index:
                 for some in np.array_split(of, -(-len(of) // 65_536) or 1):
                     score[some] += (a[near[some], lead] * self.x[rows[at[some]], lead]).sum(axis=1)
         found = score >= least[near]
-        return near[found], rows[at[found]], score[found].astype("i8")
+        return near[found], rows[at[found]], score[found]
 
 
 def _ranked(near, at, score, ids):
-    """In order of anchor, score downwards and vec_id."""
+    """In order of anchor, score downwards and vec_id. Scores leave the wide type here, without those
+    of a row with itself, which may be beyond it."""
+    score = score.astype("i8")
     order = np.lexsort((ids[at], -score, near))
     return near[order], at[order], score[order]
 
