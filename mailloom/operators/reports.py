@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from mailloom import fixed
 from mailloom.functions.text import leaf_of
 from mailloom.operators.senders import by_rank
 from mailloom.operators.summary import (
-    lowest_confidence, summary_coverage, tag_distribution, top_senders_per_tag,
+    BY_METHOD, BY_TAG, lowest_confidence, summary_coverage, summary_facts,
 )
 from mailloom.taxonomy import Taxonomy
 
@@ -109,15 +111,27 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.format_string("%.1f", F.coalesce(F.try_divide(part * 100.0, whole), F.lit(0.0)))
 
 
+# What the page reads of the manifest.
+PAGE_COLUMNS = ["folder", "uid", "from_addr", "subject", "tag", "method", "confidence"]
+
+
 def summary_lines(messages: DataFrame, manifest: DataFrame, counts: DataFrame,
                   findings: DataFrame, taxonomy: Taxonomy) -> DataFrame:
-    """The overview page. `counts` is tag_method_sender(manifest), best settled once."""
+    """The overview page.
+
+    `manifest` has PAGE_COLUMNS, `counts` is tag_method_sender of it; both are best settled.
+    Each of the tables is read twice at most, whatever the number of sections.
+    """
     spark = messages.sparkSession
     cover = summary_coverage(messages, counts, findings)
     n = F.col("n").cast("string")
 
+    def at(section: int, k1: Column, k2: Column, text: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), k1.alias("k1"),
+                        k2.cast("bigint").alias("k2"), text.alias("line"))
+
     def cover_line(section: int, pos: int, text: Column) -> Column:
-        return F.struct(F.lit(section).alias("section"), F.lit(pos).alias("pos"), text.alias("text"))
+        return at(section, F.lit(""), F.lit(pos), text)
 
     rest = F.when(F.col("unclassified") > 0, F.concat(
         F.lit("- …plus "), F.col("unclassified").cast("string"),
@@ -133,16 +147,21 @@ def summary_lines(messages: DataFrame, manifest: DataFrame, counts: DataFrame,
         cover_line(1, 3, F.concat(F.lit("- Open audit findings: "),
                                   F.col("open_findings").cast("string"))),
         cover_line(10, 0, rest),
-    ))).filter("text IS NOT NULL").select(
-        "section", F.lit("").alias("k1"), F.col("pos").cast("bigint").alias("k2"),
-        F.col("text").alias("line"),
-    )
+    ))).filter("line IS NOT NULL")
+
+    # Few rows are left behind the ranks; the total of all methods is that of the page.
+    facts = summary_facts(counts).withColumn("total", F.sum("n").over(Window.partitionBy("kind")))
+    by_tag = F.array(
+        at(3, F.lit(""), -F.col("n"), F.concat(F.lit("- "), F.col("tag"), F.lit(": "), n)),
+        at(7, F.col("tag"), F.lit(0), F.concat(F.lit("### "), F.col("tag"))))
+    by_method = F.array(at(5, F.lit(""), -F.col("n"), F.concat(
+        F.lit("- "), F.col("method"), F.lit(": "), n, F.lit(" ("),
+        _percent(F.col("n"), F.col("total")), F.lit("%)"))))
+    by_sender = F.array(at(7, F.col("tag"), F.col("rank"), F.concat(
+        F.lit("- "), F.col("from_addr"), F.lit(": "), n)))
+    fact_rows = facts.select(F.inline(
+        F.when(F.col("kind") == BY_TAG, by_tag).when(F.col("kind") == BY_METHOD, by_method).otherwise(by_sender)))
 
-    methods = counts.groupBy("method").agg(F.sum("n").alias("n")).withColumn(
-        "total", F.sum("n").over(Window.partitionBy())
-    )
-    senders = top_senders_per_tag(counts)
-    tags = counts.select("tag").distinct()
     low = lowest_confidence(manifest).withColumn(
         "pos", F.row_number().over(Window.orderBy("confidence", "folder", "uid"))
     )
@@ -150,28 +169,12 @@ def summary_lines(messages: DataFrame, manifest: DataFrame, counts: DataFrame,
         F.lit("- ["), F.format_string("%.2f", "confidence"), F.lit("] "), F.col("tag"),
         F.lit(" — "), F.col("from_addr"), F.lit(": "), F.left("subject", F.lit(60)),
     )
-
-    parts = [
-        _fixed_lines(spark, 0, [
-            "# Inbox summary", "", f"_Taxonomy {taxonomy.version} ({taxonomy.content_hash})_",
-            "", "## Coverage",
-        ]),
-        cover_rows,
-        _fixed_lines(spark, 2, ["", "## Tag distribution"]),
-        _rows(tag_distribution(counts), 3, F.lit(""), -F.col("n"),
-              F.concat(F.lit("- "), F.col("tag"), F.lit(": "), n)),
-        _fixed_lines(spark, 4, ["", "## Method breakdown (rule leverage)"]),
-        _rows(methods, 5, F.lit(""), -F.col("n"),
-              F.concat(F.lit("- "), F.col("method"), F.lit(": "), n, F.lit(" ("),
-                       _percent(F.col("n"), F.col("total")), F.lit("%)"))),
-        _fixed_lines(spark, 6, ["", "## Top senders per tag"]),
-        _rows(tags, 7, F.col("tag"), F.lit(0), F.concat(F.lit("### "), F.col("tag"))),
-        _rows(senders, 7, F.col("tag"), F.col("rank"),
-              F.concat(F.lit("- "), F.col("from_addr"), F.lit(": "), n)),
-        _fixed_lines(spark, 8, ["", "## Needs review (lowest-confidence LLM calls)"]),
-        _rows(low, 9, F.lit(""), F.col("pos"), low_line),
+    heads = [
+        (0, ["# Inbox summary", "", f"_Taxonomy {taxonomy.version} ({taxonomy.content_hash})_",
+             "", "## Coverage"]),
+        (2, ["", "## Tag distribution"]), (4, ["", "## Method breakdown (rule leverage)"]),
+        (6, ["", "## Top senders per tag"]), (8, ["", "## Needs review (lowest-confidence LLM calls)"]),
     ]
-    page = parts[0]
-    for part in parts[1:]:
-        page = page.unionByName(part)
-    return page
+    parts = [_fixed_lines(spark, section, lines) for section, lines in heads]
+    return reduce(DataFrame.unionByName, [
+        *parts, cover_rows, fact_rows, _rows(low, 9, F.lit(""), F.col("pos"), low_line)])

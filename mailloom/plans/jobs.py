@@ -122,7 +122,7 @@ def _with_life(moved: DataFrame, generations: DataFrame, cursor: DataFrame, roll
 
 def sender_report(spark: SparkSession, state: State, taxonomy: Taxonomy, path: str,
                   n: int = fixed.TOP_SENDERS) -> None:
-    top = senders.top_senders(tables.read_messages(spark, state), n)
+    top = senders.merged_top_senders(tables.read_profile_partials(spark, state), n)
     sinks.write_lines(reports.sender_report_lines(top, taxonomy.version, n), path)
 
 
@@ -261,7 +261,8 @@ def audit(spark: SparkSession, state: State, taxonomy: Taxonomy, path: str | Non
 
 
 def write_summary(spark: SparkSession, state: State, taxonomy: Taxonomy, path: str) -> None:
-    rows = manifest(spark, state, taxonomy)
+    # The manifest is evaluated once, in the columns that the page reads.
+    rows = settled(manifest(spark, state, taxonomy).select(*reports.PAGE_COLUMNS))
     counts = settled(summary.tag_method_sender(rows))
     lines = reports.summary_lines(tables.read_messages(spark, state), rows, counts,
                                   tables.read_findings(spark, state), taxonomy)
@@ -271,8 +272,40 @@ def write_summary(spark: SparkSession, state: State, taxonomy: Taxonomy, path: s
 def status(spark: SparkSession, state: State, folders: list[str]) -> tuple[DataFrame, DataFrame]:
     """Coverage over all taxonomies, and the state of each configured folder."""
     names = spark.createDataFrame([(f,) for f in folders], "folder STRING")
+    head = tables.read_head(spark, state)
     return (
-        summary.status_coverage(tables.read_messages(spark, state),
-                                tables.read_classifications(spark, state)),
-        summary.folder_status(names, tables.read_cursor(spark, state)),
+        summary.status_coverage(tables.read_messages(spark, state, head),
+                                tables.read_classifications(spark, state, head)),
+        summary.folder_status(names, tables.read_cursor(spark, state, head)),
     )
+
+
+def taxonomy_status(spark: SparkSession, state: State, taxonomy: Taxonomy) -> DataFrame:
+    """Version and hash of the taxonomy in use, and how many messages have a record under it."""
+    log = tables.read_classifications(spark, state).filter(F.col("taxonomy_hash") == taxonomy.content_hash)
+    return classes.classified_count(log).select(
+        F.lit(taxonomy.version).alias("taxonomy_version"),
+        F.lit(taxonomy.content_hash).alias("taxonomy_hash"), "classified")
+
+
+# --- upkeep -------------------------------------------------------------------------------------
+
+
+def compact(spark: SparkSession, state: State, vacuum: bool = False) -> tables.Head:
+    """Merge committed runs; with `vacuum` delete what no reader of the new head opens."""
+    head = tables.compact(spark, state)
+    if vacuum:
+        tables.vacuum(spark, state)
+    return head
+
+
+def sender_profiles(spark: SparkSession, state: State) -> DataFrame:
+    """All sender profiles, from stored partials and the runs since; no message of the base is read."""
+    return senders.merged_profiles(tables.read_profile_partials(spark, state))
+
+
+def distinct_messages(spark: SparkSession, state: State, approximate: bool = False) -> DataFrame:
+    """Distinct Message-IDs: exact, or by sketches without reading the messages of the base."""
+    if approximate:
+        return intake.distinct_message_estimate(tables.read_id_sketches(spark, state))
+    return intake.distinct_message_count(tables.read_messages(spark, state))

@@ -570,7 +570,7 @@ def folder_status(spark, sf):
 @query
 def summary_lines(spark, sf):
     messages, log = settled(fx.messages(spark, sf)), settled(_log(spark, sf))
-    rows = classes.manifest(messages, log, TAX.content_hash)
+    rows = settled(classes.manifest(messages, log, TAX.content_hash).select(*reports.PAGE_COLUMNS))
     counts = settled(summary.tag_method_sender(rows))
     return reports.summary_lines(messages, rows, counts, audits.audit(messages, log, TAX), TAX)
 

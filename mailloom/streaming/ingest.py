@@ -16,7 +16,7 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from mailloom.operators.intake import index_messages
 from mailloom.plans.jobs import ingest_indexed
-from mailloom.sources.state import State
+from mailloom.sources.state import State, compact, read_head
 from mailloom.taxonomy import Taxonomy
 
 OBSERVED = "intake"
@@ -28,8 +28,11 @@ def utc_now() -> datetime:
 
 def start_ingest(raw: DataFrame, state: State, taxonomy: Taxonomy, checkpoint: str,
                  folders: list[str] | None = None, clock: Callable[[], datetime] = utc_now,
-                 once: bool = True) -> StreamingQuery:
-    """Start the stream; `once` takes what is there and stops."""
+                 once: bool = True, compact_every: int = 64) -> StreamingQuery:
+    """Start the stream; `once` takes what is there and stops.
+
+    After `compact_every` runs they are merged, so that a batch never meets more run folders.
+    """
     # Rows are indexed in the stream, so a micro-batch holds snippets, not whole texts.
     rows = index_messages(raw, taxonomy, ("fetched_at",))
     observed = rows.observe(OBSERVED, F.count(F.lit(1)).alias("fetched"))
@@ -39,6 +42,9 @@ def start_ingest(raw: DataFrame, state: State, taxonomy: Taxonomy, checkpoint: s
         batch.persist()
         try:
             ingest_indexed(batch.sparkSession, state, batch, clock(), folders, streamed=True)
+            head = read_head(batch.sparkSession, state)
+            if head.batch - head.base >= compact_every:
+                compact(batch.sparkSession, state)
         finally:
             batch.unpersist()
 

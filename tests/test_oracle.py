@@ -15,9 +15,6 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages"
           " benchmark labels conversations").split()
 
-# Here results of one row meet side by side.
-ONE_ROW = {"classify_metrics", "summary_coverage", "status_coverage", "summary_lines"}
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -46,7 +43,7 @@ def test_query(spark, duck, name):
     df = entry_points.queries()[name](spark, SF)
     text = plan(df)
     assert "CartesianProduct" not in text
-    assert name in ONE_ROW or "BroadcastNestedLoopJoin" not in text
+    assert "BroadcastNestedLoopJoin" not in text
     got = table(df.collect(), df.columns)
     sql = entry_points.oracle_sql().get(name)
     if sql is None:
