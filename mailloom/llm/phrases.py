@@ -9,7 +9,7 @@ texts, each with bounded memory in its tasks:
    union over the shards is the set of candidates, kept as a bitmap,
 3. phrases in the bitmap are counted by their words over all texts.
 
-Both bitmaps have a fixed size. One that fills up, and hashes that collide, only let more
+Both bitmaps have a bound. One that fills up, and hashes that collide, only let more
 phrases through to the exact count of the third pass, so they change no result.
 
 Texts: A-Z in lower case; pieces end at [.,;:!?] and line ends; words are what lies between
@@ -49,9 +49,12 @@ class Bounds:
 
     run_tokens: int = 2_000_000  # tokens that a task counts at once
     word_bits: int = 24  # 2 MB
-    phrase_bits: int = 26  # 8 MB
+    phrase_bits: int = 0  # 0: about one bit a word, 2 MB to 64 MB
     part_bytes: int = 32 << 20  # hashes that one task sums up; their parts are 2**10 to 2**20
 
+    def of_phrases(self, total: int) -> int:
+        return self.phrase_bits or min(29, max(24, total.bit_length()))
+
 
 class Numbers(dict):
     """Words with their numbers; a new word takes the next one."""
@@ -139,8 +142,8 @@ def _width(lowered: int) -> str:
 
 
 def _mine(known: Broadcast, bits: int, lowered: int, bounds: Bounds):
-    """Phrases of each run by hash, cut into parts by its leading bits. A task's texts belong to
-    one shard; counts beyond the lowered support are as good as that."""
+    """Phrases of each run by hash: its leading bits name a part, the 32 bits behind them cross the
+    shuffle. A task's texts belong to one shard; counts beyond the lowered support are as good as that."""
 
     def run_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -152,6 +155,7 @@ def _mine(known: Broadcast, bits: int, lowered: int, bounds: Bounds):
             parts = (found >> np.uint64(64 - bits)).astype("i8")
             own, starts = np.unique(parts, return_index=True)
             ends = np.append(starts[1:], len(found))
+            found = (found >> np.uint64(32 - bits)).astype("u4")
             n = np.minimum(n, lowered).astype(_width(lowered))
             yield pd.DataFrame({
                 "part": own, "shard": shard,
@@ -169,26 +173,26 @@ def _frequent(lowered: int, bits: int, phrase_bits: int):
         part = int(pdf["part"].iloc[0])
         seen = np.zeros(1 << (phrase_bits - bits), bool)
         for _, own in pdf.groupby("shard"):
-            hashes = np.frombuffer(b"".join(own["hashes"]), "u8")
+            hashes = np.frombuffer(b"".join(own["hashes"]), "u4")
             counts = np.frombuffer(b"".join(own["counts"]), _width(lowered))
             order = np.argsort(hashes)
             hashes, counts = hashes[order], counts[order].astype("i8")
             starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
             often = hashes[starts][np.add.reduceat(counts, starts) >= lowered]
-            seen[(often >> np.uint64(64 - phrase_bits)).astype("i8") - (part << (phrase_bits - bits))] = True
+            seen[often >> np.uint32(32 - (phrase_bits - bits))] = True
         return pd.DataFrame({"part": [part], "bitmap": [np.packbits(seen, bitorder="little").tobytes()]})
 
     return run
 
 
-def _count(known: Broadcast, wanted: Broadcast, bounds: Bounds):
+def _count(known: Broadcast, wanted: Broadcast, phrase_bits: int, bounds: Bounds):
     """Exact counts of the candidates of each run."""
 
     def run_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, run in _runs(batches, bounds.run_tokens):
             words, tokens = [w.decode() for w in run.words], run.tokens()
             for length, at, hashed in _phrases(run, lang, known.value, bounds.word_bits):
-                bit = (hashed >> np.uint64(64 - bounds.phrase_bits)).astype("i8")
+                bit = (hashed >> np.uint64(64 - phrase_bits)).astype("i8")
                 at = at[(wanted.value[bit >> 3] >> (bit & 7) & 1).astype(bool)]
                 code = tokens[at]
                 for i in range(1, length):
@@ -236,12 +240,13 @@ def counted(docs: DataFrame, support: int = SUPPORT, bounds: Bounds = Bounds())
     frequent = words.filter(F.col("n") >= support)
     slot = F.crc32(F.concat("lang", F.lit("\t"), "phrase")).bitwiseAND(F.lit((1 << bounds.word_bits) - 1))
     known = context.broadcast(_word_bitmap(frequent.select(slot.alias("slot")), bounds.word_bits))
-    # A word starts at most two phrases, of nine bytes each.
-    bits = min(20, bounds.phrase_bits - 3, max(10, (18 * total // bounds.part_bytes).bit_length()))
+    phrase_bits = bounds.of_phrases(total)
+    # A word starts at most two phrases, of five bytes each.
+    bits = min(20, phrase_bits - 3, max(10, (10 * total // bounds.part_bytes).bit_length()))
     lowered = -(-support // SHARDS)
     local = texts.mapInPandas(_mine(known, bits, lowered, bounds), "part long, shard int, hashes binary, counts binary")
-    wanted = context.broadcast(_phrase_bitmap(local, lowered, bits, bounds.phrase_bits))
-    phrases = texts.mapInPandas(_count(known, wanted, bounds), COUNTS).groupBy("lang", "phrase").agg(
+    wanted = context.broadcast(_phrase_bitmap(local, lowered, bits, phrase_bits))
+    phrases = texts.mapInPandas(_count(known, wanted, phrase_bits, bounds), COUNTS).groupBy("lang", "phrase").agg(
         F.sum("n").alias("n")).filter(F.col("n") >= support)
     every = kept(frequent.select("lang", "phrase", "n").unionByName(phrases)
                  .withColumn("words", F.size(F.split("phrase", " "))), "phrases")
