@@ -359,7 +359,7 @@ def read_classifications(spark: SparkSession, state: State, head: Head | None =
         (F.col("run_seq") > head.classifications_base) & (F.col("run_seq") <= head.classifications))
     if head.classifications_base:
         rows = _base(spark, state, "classifications", head.classifications_base, CLASSIFICATION).unionByName(rows)
-    return rows
+    return rows.select(*CLASSIFICATION.names)
 
 
 def next_run(spark: SparkSession, state: State, name: str = "classifications") -> int:
