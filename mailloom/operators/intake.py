@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mailloom.fixed import MUTATING_COMMANDS
@@ -124,26 +126,80 @@ def fetch_stats(fetched: DataFrame) -> DataFrame:
     )
 
 
-def advance_cursor(stats: DataFrame, generations: DataFrame, cursor: DataFrame,
-                   run_ts: Column, full: bool = False) -> DataFrame:
-    """One row per folder after a run. Folders outside the run keep their row."""
-    old = cursor.select("folder", *[F.col(c).alias(f"old_{c}") for c in
-                                    ("uidvalidity", "last_uid", "complete", "updated_at")])
+_LEDGER = {
+    "fetched": F.sum, "top": F.max, "inserted": F.sum, "uidvalidity": F.max, "generation_at": F.max,
+    "rolled": F.bool_or, "ran": F.bool_or, "old_uidvalidity": F.max, "old_last_uid": F.max,
+    "old_complete": F.bool_or, "old_updated_at": F.max, "old_generation_at": F.max, "old_live_from": F.max,
+}
+_LEDGER_TYPES = {
+    "generation_at": "timestamp_ntz", "rolled": "boolean", "ran": "boolean", "old_complete": "boolean",
+    "old_updated_at": "timestamp_ntz", "old_generation_at": "timestamp_ntz",
+}
+
+
+def run_ledger(stats: DataFrame, fresh: DataFrame | None = None, generations: DataFrame | None = None,
+               cursor: DataFrame | None = None, rolled: DataFrame | None = None) -> DataFrame:
+    """What a run knows of each folder, in one row: counts, generation, and the cursor until then.
+
+    All parts have few rows per folder or combine in the map tasks, so one aggregate by
+    folder takes the place of a chain of joins. Columns without a value are null.
+    """
+    parts = [stats.select("folder", *[c for c in ("fetched", "top") if c in stats.columns])]
+    if fresh is not None:
+        parts.append(fresh.select("folder", F.lit(1).cast("bigint").alias("inserted")))
+    if generations is not None:
+        known = [c for c in ("generation_at", "rolled") if c in generations.columns]
+        parts.append(generations.select("folder", "uidvalidity", *known, F.lit(True).alias("ran")))
+    if cursor is not None:
+        parts.append(cursor.select("folder", *[
+            F.col(c[4:]).alias(c) for c in _LEDGER if c.startswith("old_") and c[4:] in cursor.columns]))
+    if rolled is not None:
+        parts.append(rolled.select("folder", F.lit(True).alias("rolled")))
+    shapes = [p.select("folder", *[
+        (F.col(c) if c in p.columns else F.lit(None)).cast(_LEDGER_TYPES.get(c, "bigint")).alias(c) for c in _LEDGER
+    ]) for p in parts]
+    return reduce(DataFrame.unionByName, shapes).groupBy("folder").agg(
+        *[how(c).alias(c) for c, how in _LEDGER.items()])
+
+
+def cursor_of(ledger: DataFrame, run_ts: Column, full: bool = False, run: int = 0) -> DataFrame:
+    """The cursor after a run, one row per folder. Folders outside the run keep their row.
+
+    `live_from` is the first run whose rows are alive: this one for a folder that is new,
+    rolled over or rewritten.
+    """
+    ran = F.coalesce("ran", F.lit(False))
     start = F.when(
         F.lit(not full) & (F.col("old_uidvalidity") == F.col("uidvalidity")), F.col("old_last_uid")
     ).otherwise(0)
-    ran = F.col("uidvalidity").isNotNull()
-    top = stats.select("folder", "top")
-    return generations.join(top, "folder", "left").join(old, "folder", "full").select(
+    restart = F.coalesce("rolled", F.lit(False)) | F.col("old_live_from").isNull() | (F.lit(full) & ran)
+    return ledger.filter(ran | F.col("old_uidvalidity").isNotNull()).select(
         "folder",
         F.coalesce("uidvalidity", "old_uidvalidity").alias("uidvalidity"),
         F.when(ran, F.greatest(F.coalesce("top", F.lit(0)), start))
         .otherwise(F.col("old_last_uid")).alias("last_uid"),
         F.when(ran, F.lit(True)).otherwise(F.col("old_complete")).alias("complete"),
         F.when(ran, run_ts).otherwise(F.col("old_updated_at")).alias("updated_at"),
+        F.coalesce("generation_at", "old_generation_at").alias("generation_at"),
+        F.when(restart, F.lit(run).cast("bigint")).otherwise(F.col("old_live_from")).alias("live_from"),
     )
 
 
+def metrics_of(ledger: DataFrame) -> DataFrame:
+    """fetched, inserted, deduped, resynced per folder of the run."""
+    inserted = F.coalesce("inserted", F.lit(0))
+    return ledger.filter("fetched IS NOT NULL").select(
+        "folder", "fetched", inserted.alias("inserted"), (F.col("fetched") - inserted).alias("deduped"),
+        F.coalesce("rolled", F.lit(False)).alias("resynced"))
+
+
+def advance_cursor(stats: DataFrame, generations: DataFrame, cursor: DataFrame,
+                   run_ts: Column, full: bool = False) -> DataFrame:
+    """Place of each folder after a run, without the columns that only stored runs have."""
+    ledger = run_ledger(stats, generations=generations, cursor=cursor)
+    return cursor_of(ledger, run_ts, full).drop("generation_at", "live_from")
+
+
 # --- dedup by Message-ID --------------------------------------------------------
 
 
@@ -277,17 +333,7 @@ def distinct_message_estimate(sketches: DataFrame) -> DataFrame:
 
 def sync_metrics(stats: DataFrame, inserted: DataFrame, rolled: DataFrame) -> DataFrame:
     """fetched, inserted, deduped, resynced per folder of the run."""
-    n_inserted = inserted.groupBy("folder").agg(F.count("*").alias("inserted"))
-    marked = rolled.select("folder", F.lit(True).alias("resynced"))
-    inserted_n = F.coalesce("inserted", F.lit(0))
-    return (
-        stats.join(n_inserted, "folder", "left").join(marked, "folder", "left")
-        .select(
-            "folder", "fetched", inserted_n.alias("inserted"),
-            (F.col("fetched") - inserted_n).alias("deduped"),
-            F.coalesce("resynced", F.lit(False)).alias("resynced"),
-        )
-    )
+    return metrics_of(run_ledger(stats, inserted, rolled=rolled))
 
 
 # --- access log -----------------------------------------------------------------------

@@ -214,6 +214,16 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail(spark, sf_dir).select("folder", "uidvalidity", "uid", F.inline(both))
 
 
+def answer_by_length():
+    """A list completer whose reply follows from the payload: tag, confidence and validity by its length."""
+    tags = ["keep", "junk", "receipt", "nonsuch"]
+
+    def answers(system: str, users: list[str], sampling: dict) -> list[str]:
+        return [f'{{"tag":"{tags[len(u) % 4]}","confidence":0.{5 + len(u) % 5}}}' if len(u) % 3 else "no" for u in users]
+
+    return answers
+
+
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mailbox access log from the event table."""
     return table(spark, sf_dir, "events").select(

@@ -64,16 +64,22 @@ def ingest_indexed(spark: SparkSession, state: State, rows: DataFrame, run_ts: d
     cursor = tables.read_cursor(spark, state, head)
     # Tables of one row per folder, written so that their true size is known: the
     # joins by folder then broadcast them and a hot folder is never shuffled.
-    generations, seen = observed(intake.generation_state(rows, cursor, now),
+    span = Observation()
+    marked = rows.observe(span, F.min("uid").alias("lo"), F.max("uid").alias("hi"))
+    generations, seen = observed(intake.generation_state(marked, cursor, now),
                                  F.count_if("rolled").alias("rolled"))
     rolled = generations.filter("rolled").select("folder")
     current = rows.join(generations, ["folder", "uidvalidity"], "left_semi")
     if streamed:
-        # Keys of a dropped folder are of another generation, so none of them is met.
-        fetched = current.join(tables.stored_keys(spark, state, rows, head), KEY, "left_anti")
+        # Keys of a dropped folder are of another generation, so none of them is met. What is
+        # new of a micro-batch is written once, so that later steps repeat no join.
+        known = tables.stored_keys(spark, state, span.get.get("lo"), span.get.get("hi"), head)
+        fetched, sums = observed(current.join(known, KEY, "left_anti").select(*MESSAGE.names),
+                                 F.count(F.lit(1)).alias("fetched"))
+        stats = intake.fetch_stats(fetched)
     else:
         fetched = intake.incremental_scan(current, cursor, full)
-    stats, sums = observed(intake.fetch_stats(fetched), F.sum("fetched").alias("fetched"))
+        stats, sums = observed(intake.fetch_stats(fetched), F.sum("fetched").alias("fetched"))
     n = sums.get("fetched") or 0
     batch = fetched.select(*MESSAGE.names)
     if full:
@@ -83,8 +89,11 @@ def ingest_indexed(spark: SparkSession, state: State, rows: DataFrame, run_ts: d
     else:
         # What is stored under the ids of this batch; a small batch reads little of it.
         met = tables.stored_ids(spark, state, batch, n, head)
-        released = met.join(rolled, "folder", "left_semi") if seen.get("rolled") else None
-        fresh = intake.dedup_messages(batch, intake.drop_folders(met, rolled), folders, released)
+        released = None
+        if seen.get("rolled"):
+            released = met.join(rolled, "folder", "left_semi")
+            met = intake.drop_folders(met, rolled)
+        fresh = intake.dedup_messages(batch, met, folders, released)
     fresh = fresh.select(*MESSAGE.names)
     if full:
         fresh = settled(fresh)
@@ -93,30 +102,12 @@ def ingest_indexed(spark: SparkSession, state: State, rows: DataFrame, run_ts: d
     else:
         tables.write_batch(fresh, state, "messages", run)
         fresh = spark.read.schema(MESSAGE).parquet(state.path("messages", f"batch_id={run}"))
-    tables.write_batch(intake.sync_metrics(stats, fresh, rolled), state, "metrics", run)
-    moved = intake.advance_cursor(stats, generations, cursor, now, full)
-    tables.commit_cursor(_with_life(moved, generations, cursor, rolled, run, full), state, run)
+    ledger = settled(intake.run_ledger(stats, fresh, generations, cursor))
+    tables.write_batch(intake.metrics_of(ledger), state, "metrics", run)
+    tables.commit_cursor(intake.cursor_of(ledger, now, full, run), state, run)
     return tables.read_metrics(spark, state).filter(F.col("batch_id") == run).drop("batch_id")
 
 
-def _with_life(moved: DataFrame, generations: DataFrame, cursor: DataFrame, rolled: DataFrame,
-               run: int, full: bool) -> DataFrame:
-    """Cursor rows with generation time and the first run whose rows are alive."""
-    old = cursor.select("folder", F.col("generation_at").alias("old_at"),
-                        F.col("live_from").alias("old_live"))
-    new = generations.select("folder", "generation_at", F.lit(True).alias("ran"))
-    fresh = rolled.select("folder", F.lit(True).alias("rolled"))
-    restart = F.col("rolled").isNotNull() | F.col("old_live").isNull()
-    if full:
-        restart = restart | F.col("ran").isNotNull()
-    return (
-        moved.join(new, "folder", "left").join(old, "folder", "left").join(fresh, "folder", "left")
-        .withColumn("live_from", F.when(restart, F.lit(run).cast("bigint")).otherwise(F.col("old_live")))
-        .withColumn("generation_at", F.coalesce("generation_at", "old_at"))
-        .select(*CURSOR.names)
-    )
-
-
 # --- review ------------------------------------------------------------------------------
 
 

@@ -292,6 +292,13 @@ _CTE: dict[str, tuple[list[str], str]] = {
 }
 
 
+# Mail that came in three runs, by uid modulo 3.
+_CTE["messages3"] = (["hinted"], f"""
+    SELECT *, uid % 3 + 1 AS batch_id FROM hinted QUALIFY message_id = '' OR
+      row_number() OVER (PARTITION BY message_id ORDER BY uid % 3, {_FOLDER}, uid) = 1""")
+_CTE["profiles3"] = (["messages3"], _CTE["profiles"][1].replace("FROM messages", "FROM messages3"))
+
+
 def _sql(main: str, *reads: str) -> str:
     """A statement with the relations it needs, in order of definition."""
     needed: set[str] = set()
@@ -394,6 +401,10 @@ _MODEL_TRUNC = f"(SELECT * FROM ({_payload(fx.PAYLOAD_BUDGET)}))"
 _MANIFEST = ("SELECT * EXCLUDE (date, created_at), " + _iso("date") + " AS date, "
              + _iso("created_at") + " AS created_at FROM manifest")
 
+_TAGS = ["keep", "junk", "receipt", "nonsuch"]
+_ANSWER = ("CASE WHEN n % 3 = 0 THEN 'no' ELSE concat('{\"tag\":\"', " + _list(_TAGS) + "[n % 4 + 1],"
+           " '\",\"confidence\":0.', 5 + n % 5, '}') END")
+
 ORACLE: dict[str, str] = {
     "scan_raw": _sql(
         f"SELECT folder, uid, from_addr, subject, {_iso('date')} AS date, size FROM mail"
@@ -675,4 +686,41 @@ ORACLE: dict[str, str] = {
     "llm_metrics": _sql("""
         SELECT count(*) AS called, count(*) FILTER (tag = 'unclassified') AS unclassified
         FROM modelled""", "modelled"),
+    "compacted_messages": _sql(f"SELECT {_MSG}, keyword_hint FROM messages3", "messages3"),
+    "compacted_ids": _sql("""
+        SELECT folder, message_id FROM messages3 WHERE message_id <> ''
+           AND message_id IN (SELECT message_id FROM mail WHERE folder = 'Lists')""", "messages3", "mail"),
+    "maintained_profiles": _sql(f"SELECT {_PROFILE_COLUMNS} FROM profiles3", "profiles3"),
+    "distinct_by_sketch": _sql(
+        "SELECT count(DISTINCT message_id) AS distinct_messages, true AS close FROM messages3", "messages3"),
+    "run_metrics": _sql("""
+        SELECT m.folder, m.batch_id, fetched, COALESCE(inserted, 0) AS inserted,
+               fetched - COALESCE(inserted, 0) AS deduped
+        FROM (SELECT folder, uid % 3 + 1 AS batch_id, count(*) AS fetched FROM mail GROUP BY ALL) m
+        LEFT JOIN (SELECT folder, batch_id, count(*) AS inserted FROM messages3 GROUP BY ALL) k
+          ON m.folder = k.folder AND m.batch_id = k.batch_id""", "mail", "messages3"),
+    "batch_ingest": _sql(
+        "SELECT folder, uidvalidity, uid, message_id, keyword_hint FROM messages", "messages"),
+    "bounded_dedup": _sql("""
+        SELECT message_id, CASE WHEN message_id = '' THEN count(*) ELSE 1 END AS n
+        FROM mail GROUP BY message_id""", "mail"),
+    "summary_facts": _sql("""
+        SELECT 'tag' AS kind, tag, NULL AS method, NULL AS from_addr, count(*) AS n, 1 AS rank
+        FROM manifest GROUP BY tag
+        UNION ALL
+        SELECT 'method', NULL, method, NULL, count(*), 1 FROM manifest GROUP BY method
+        UNION ALL
+        SELECT 'sender', tag, NULL, from_addr, n, rank FROM ranked WHERE rank <= 10""", "manifest", "ranked"),
+    "complete_map": _sql(f"""
+        SELECT folder, uidvalidity, uid, truncated, {_ANSWER} AS raw
+        FROM (SELECT *, length(payload) AS n FROM ({_payload(300)}))""", "messages"),
+    "model_run": _sql(f"""
+        SELECT folder, uidvalidity, uid, CASE WHEN invalid OR 5 + n % 5 < 7 THEN 'unclassified'
+                 ELSE {_list(_TAGS)}[n % 4 + 1] END AS tag, '' AS subtags,
+               CASE WHEN invalid THEN 0.0 ELSE (5 + n % 5) / 10.0 END AS confidence, 'llm' AS method,
+               'v1' AS taxonomy_version, '{HASH}' AS taxonomy_hash, '{fx.MODEL_ID}' AS model_id,
+               'classify_v1' AS prompt_version, '' AS rationale, truncated,
+               '{fx.RUN_TS.replace(' ', 'T')}' AS created_at
+        FROM (SELECT *, length(payload) AS n, length(payload) % 3 = 0 OR length(payload) % 4 = 3 AS invalid
+              FROM ({_payload(300, "(SELECT * FROM messages WHERE keyword_hint IS NULL)")}))""", "messages"),
 }

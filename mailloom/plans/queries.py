@@ -15,12 +15,12 @@ from mailloom.operators import audit as audits
 from mailloom.operators import classify as classes
 from mailloom.operators import decisions as deciding
 from mailloom.operators import intake, model, reports, review, rules as ruling, senders, summary
-from mailloom.plans import fixtures as fx
+from mailloom.plans import fixtures as fx, jobs
 from mailloom.schemas import KEY
 from mailloom.session import fresh_path, settled
 from mailloom.sources import sinks, state as tables
-from mailloom.sources.landing import stream_raw
-from mailloom.streaming.ingest import start_ingest
+from mailloom.sources.landing import read_raw, stream_raw
+from mailloom.streaming.ingest import bounded_dedup as deduped_stream, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -219,6 +219,78 @@ def stream_metrics(spark, sf):
         "folder", "fetched", "inserted", "deduped", "resynced")
 
 
+# --- stored history ------------------------------------------------------------------------
+
+
+def _history(spark: SparkSession, sf: str, compacted: bool = True) -> tables.State:
+    """All mail in three runs, by uid modulo 3, with a compaction after the second."""
+    state = tables.init_state(spark, tables.State(fresh_path(spark, "state")))
+    rows = settled(intake.index_messages(fx.mail(spark, sf), TAX, ("fetched_at",)))
+    for i in range(3):
+        jobs.ingest_indexed(spark, state, rows.filter(F.col("uid") % 3 == i),
+                            datetime.fromisoformat(fx.RUN_TS), fx.FOLDERS, streamed=True)
+        if i == 1 and compacted:
+            jobs.compact(spark, state, vacuum=True)
+    return state
+
+
+@query
+def compacted_messages(spark, sf):
+    return _plain(tables.read_messages(spark, _history(spark, sf)))
+
+
+@query
+def compacted_ids(spark, sf):
+    """Stored ids that a batch meets, here the mail of one folder."""
+    ids = tables.read_ids(spark, _history(spark, sf))
+    batch = fx.mail(spark, sf).filter("folder = 'Lists'").select("message_id").distinct()
+    return ids.join(batch, "message_id", "left_semi").select("folder", "message_id")
+
+
+@query
+def maintained_profiles(spark, sf):
+    return _subjects(jobs.sender_profiles(spark, _history(spark, sf)))
+
+
+@query
+def distinct_by_sketch(spark, sf):
+    """The exact number of ids, and whether merged sketches come within three percent of it."""
+    state = _history(spark, sf)
+    estimate = jobs.distinct_messages(spark, state, approximate=True).select(
+        F.col("distinct_messages").alias("estimate"))
+    exact = jobs.distinct_messages(spark, state)
+    off = F.abs(F.col("estimate") - F.col("distinct_messages"))
+    return summary.side_by_side(exact, estimate).select(
+        "distinct_messages", (off <= F.col("distinct_messages") * 0.03).alias("close"))
+
+
+@query
+def run_metrics(spark, sf):
+    return tables.read_metrics(spark, _history(spark, sf)).drop("resynced")
+
+
+@query
+def batch_ingest(spark, sf):
+    """Raw mail landed as files, read back by its schema and ingested in one run."""
+    path = fresh_path(spark, "landing")
+    fx.mail(spark, sf).write.parquet(path)
+    state = tables.init_state(spark, tables.State(fresh_path(spark, "state")))
+    jobs.ingest(spark, state, read_raw(spark, path), TAX, datetime.fromisoformat(fx.RUN_TS), fx.FOLDERS)
+    return tables.read_messages(spark, state).select(*KEY, "message_id", "keyword_hint")
+
+
+@query
+def bounded_dedup(spark, sf):
+    """Mail as a stream, one row for each id within a watermark that spans all of it."""
+    source, out = fresh_path(spark, "landing"), fresh_path(spark, "deduped")
+    fx.mail(spark, sf).select("folder", "uidvalidity", "uid", "message_id", "fetched_at").write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    rows = deduped_stream(stream_raw(spark, source, schema=schema), "3650 days")
+    rows.writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(out).groupBy("message_id").agg(F.count("*").alias("n"))
+
+
 # --- taxonomies ------------------------------------------------------------------------------
 
 
@@ -545,6 +617,11 @@ def lowest_confidence(spark, sf):
     return summary.lowest_confidence(_manifest(spark, sf))
 
 
+@query
+def summary_facts(spark, sf):
+    return summary.summary_facts(_counts(spark, sf))
+
+
 @query
 def summary_coverage(spark, sf):
     messages, log = settled(fx.messages(spark, sf)), settled(_log(spark, sf))
@@ -630,6 +707,25 @@ def complete(spark, sf):
     return model.replay(payloads, fx.replies(spark, sf), 1, "raw").select(*KEY, "truncated", "raw")
 
 
+@query
+def complete_map(spark, sf):
+    """Replies of a list completer, called in tasks over Arrow batches."""
+    payloads = model.build_payload(fx.messages(spark, sf), TAX, keep=KEY)
+    return model.complete(payloads, fx.answer_by_length, TAX.system_prompt(), "raw", listed=16).select(
+        *KEY, "truncated", "raw")
+
+
+@query
+def model_run(spark, sf):
+    """A chunked model run over a stored state: what it appends to the log."""
+    state = tables.init_state(spark, tables.State(fresh_path(spark, "state")))
+    jobs.ingest_indexed(spark, state, settled(intake.index_messages(fx.mail(spark, sf), TAX, ("fetched_at",))),
+                        datetime.fromisoformat(fx.RUN_TS), fx.FOLDERS)
+    jobs.classify_llm_batch(spark, state, TAX, fx.MODEL_ID, datetime.fromisoformat(fx.RUN_TS), fx.answer_by_length,
+                            chunk_rows=max(1, tables.read_messages(spark, state).count() // 5), listed=16)
+    return _plain(tables.read_classifications(spark, state).drop("run_seq"))
+
+
 def _residue(spark: SparkSession, sf: str) -> DataFrame:
     return classes.llm_residue(fx.messages(spark, sf), fx.rules(spark, sf), _log(spark, sf), TAX,
                                keyword_authoritative=False)

@@ -220,22 +220,22 @@ def stored_ids(spark: SparkSession, state: State, batch: DataFrame, rows: int,
     behind a broadcast filter while the batch fits one.
     """
     if rows <= LITERAL_IDS:
-        wanted = [r[0] for r in batch.filter("message_id <> ''").select("message_id").distinct().collect()]
-        return read_ids(spark, state, wanted, head)
+        wanted = {r[0] for r in batch.filter("message_id <> ''").select("message_id").collect()}
+        return read_ids(spark, state, sorted(wanted), head)
     ids = read_ids(spark, state, None, head)
     if rows > BROADCAST_ROWS:
         return ids
     return ids.join(F.broadcast(batch.select("message_id").distinct()), "message_id", "left_semi")
 
 
-def stored_keys(spark: SparkSession, state: State, batch: DataFrame, head: Head | None = None) -> DataFrame:
-    """Keys of live messages that can meet a key of the batch.
+def stored_keys(spark: SparkSession, state: State, lo: int | None, hi: int | None,
+                head: Head | None = None) -> DataFrame:
+    """Keys of live messages with a uid in the span that a batch has; none for an empty batch.
 
-    Files are sorted by key, so the span of the batch's uids leaves most row groups out.
+    Files are sorted by key, so the span leaves most row groups out.
     """
-    span = batch.agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).first()
     rows = _stored(spark, state, head or read_head(spark, state)).select(*KEY)
-    return rows.filter(F.col("uid").between(span["lo"], span["hi"])) if span["lo"] is not None else rows.limit(0)
+    return rows.filter(F.lit(False) if lo is None else F.col("uid").between(lo, hi))
 
 
 def write_batch(df: DataFrame, state: State, name: str, batch_id: int) -> None:
