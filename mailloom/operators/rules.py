@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mailloom import fixed
 from mailloom.functions.keywords import with_keyword_hint
 from mailloom.functions.text import leaf_of
-from mailloom.session import BROADCAST_ROWS, fits_broadcast, lookup_join
+from mailloom.session import BROADCAST_ROWS, fits_broadcast, lookup_join, skew_join
 from mailloom.taxonomy import Taxonomy
 
 RESOLVED = ["resolved_tag", "resolved_subtag", "method", "confidence"]
@@ -51,7 +51,8 @@ def attach_sender_rules(messages: DataFrame, rules: DataFrame,
     """Add `rule`: struct(tag, subtag) of the address rule, else of the domain rule.
 
     Few rules are broadcast and the messages do not move. Many rules meet the
-    distinct senders first; the messages then take one salted join by sender.
+    distinct senders first; the messages then take one join by sender. Both joins
+    split a domain or sender that is heavy.
     """
     by_addr = _by_scope(rules, "addr", "from_addr", "addr_rule")
     by_domain = _by_scope(rules, "domain", "from_domain", "domain_rule")
@@ -63,7 +64,8 @@ def attach_sender_rules(messages: DataFrame, rules: DataFrame,
         return joined.select(*messages.columns, rule)
     senders = messages.select("from_addr", "from_domain").distinct()
     found = (
-        senders.join(by_addr, "from_addr", "left").join(by_domain, "from_domain", "left")
+        skew_join(senders.join(by_addr, "from_addr", "left"), by_domain, ["from_domain"], "left",
+                  F.col("from_addr"))
         .select("from_addr", "from_domain", rule)
         .filter("rule IS NOT NULL")
     )

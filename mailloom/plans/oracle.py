@@ -724,3 +724,4 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, length(payload) AS n, length(payload) % 3 = 0 OR length(payload) % 4 = 3 AS invalid
               FROM ({_payload(300, "(SELECT * FROM messages WHERE keyword_hint IS NULL)")}))""", "messages"),
 }
+ORACLE["resolve_many_rules"] = ORACLE["resolve_rules"]

@@ -484,6 +484,14 @@ def resolve_rules_advisory(spark, sf):
         *KEY, F.col("resolved_tag").alias("tag"), "method", "confidence")
 
 
+@query
+def resolve_many_rules(spark, sf):
+    """As resolve_rules, by the joins that a rule table beyond a broadcast takes."""
+    return ruling.resolve_rules(fx.messages(spark, sf), fx.rules(spark, sf), TAX, max_rows=0).select(
+        *KEY, F.col("resolved_tag").alias("tag"), F.col("resolved_subtag").alias("subtag"),
+        "method", "confidence")
+
+
 @query
 def first_rule(spark, sf):
     return fx.indexed(spark, sf).groupBy("folder", "keyword_hint").agg(F.count("*").alias("n"))

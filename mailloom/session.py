@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 BROADCAST_ROWS = 200_000
 SALTS = 16
+HEAVY_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,14 +59,40 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
                 spread: Column, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join to a side that is unique on `on`: broadcast while small, salted beyond.
+    """Join to a side that is unique on `on`: broadcast while small, beyond that a join with
+    its heavy keys split.
 
     `spread` is any value that differs inside a hot key of the left side.
     """
     right = settled(right)
     if fits_broadcast(right, max_rows):
         return left.join(F.broadcast(right), on, how)
-    return salted_join(left, right, on, how, spread)
+    return skew_join(left, right, on, how, spread)
+
+
+def heavy_keys(df: DataFrame, on: list[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """(*on, __parts): keys with more than `heavy_rows` rows, and into how many parts they go.
+
+    Counted, with partial counts in the map tasks; at most one key for each `heavy_rows` rows.
+    """
+    counts = df.groupBy(*on).agg(F.count("*").alias("__n")).filter(F.col("__n") > heavy_rows)
+    return counts.select(*on, F.ceil(F.col("__n") / heavy_rows).cast("int").alias("__parts"))
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spread: Column,
+              heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """A join whose heavy keys of the left are split by their counted size.
+
+    Only these are spread over tasks, and only their rows of the right are repeated; all other
+    keys join plainly. Right for inner, left, semi and anti joins. `left` is read once more, in
+    the columns of `on`.
+    """
+    heavy = F.broadcast(settled(heavy_keys(left, on, heavy_rows)))
+    part = F.coalesce(F.pmod(F.xxhash64(spread), F.col("__parts")), F.lit(0)).cast("int")
+    parts = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)
+    spread_left = left.join(heavy, on, "left").withColumn("__salt", part).drop("__parts")
+    repeated = right.join(heavy, on, "left").withColumn("__salt", F.explode(parts)).drop("__parts")
+    return spread_left.join(repeated, [*on, "__salt"], how).drop("__salt")
 
 
 def narrowed(big: DataFrame, keys: DataFrame, on: list[str], key_rows: int,

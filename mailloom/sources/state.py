@@ -37,7 +37,7 @@ from mailloom.operators.senders import PARTIAL, profile_partials
 from mailloom.schemas import (
     CLASSIFICATION, CURSOR, DECISION_LOG, FINDING, KEY, MESSAGE, METRICS, SKETCH,
 )
-from mailloom.session import BROADCAST_ROWS
+from mailloom.session import BROADCAST_ROWS, narrowed
 from mailloom.sources import files
 
 BATCH = StructField("batch_id", LongType())
@@ -222,10 +222,7 @@ def stored_ids(spark: SparkSession, state: State, batch: DataFrame, rows: int,
     if rows <= LITERAL_IDS:
         wanted = {r[0] for r in batch.filter("message_id <> ''").select("message_id").collect()}
         return read_ids(spark, state, sorted(wanted), head)
-    ids = read_ids(spark, state, None, head)
-    if rows > BROADCAST_ROWS:
-        return ids
-    return ids.join(F.broadcast(batch.select("message_id").distinct()), "message_id", "left_semi")
+    return narrowed(read_ids(spark, state, None, head), batch, ["message_id"], rows, BROADCAST_ROWS)
 
 
 def stored_keys(spark: SparkSession, state: State, lo: int | None, hi: int | None,

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from mailloom.operators import classify as cl, decisions as dec, intake, rules, senders, summary
 from mailloom.plans.queries import QUERIES
-from mailloom.session import cluster_conf, fits_broadcast, narrowed, salted_join, shared_dir
+from mailloom.session import (
+    cluster_conf, fits_broadcast, heavy_keys, narrowed, salted_join, shared_dir, skew_join,
+)
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,6 +62,22 @@ def test_salted_join_equals_join(spark, hot):
             hot.join(right, "from_addr", how).select(sorted(salted.columns)))
 
 
+def test_heavy_keys_are_split_by_their_size(spark, hot):
+    """A domain and a sender hold a third of all rows; no task gets many more than `heavy_rows`."""
+    right = hot.select("from_addr").distinct().withColumn("x", F.length("from_addr"))
+    heavy = {r.from_addr: r["__parts"] for r in heavy_keys(hot, ["from_addr"], 100).collect()}
+    assert heavy == {"hot@x.com": 10}
+    for how in ("inner", "left", "left_anti", "left_semi"):
+        split = skew_join(hot, right, ["from_addr"], how, F.col("uid"), 100)
+        assert rows_of(split.select(sorted(split.columns))) == rows_of(
+            hot.join(right, "from_addr", how).select(sorted(hot.join(right, "from_addr", how).columns)))
+    part = F.pmod(F.xxhash64("uid"), F.lit(10))
+    assert hot.filter("from_addr = 'hot@x.com'").groupBy(part.alias("p")).count().agg(F.max("count")).first()[0] < 150
+    # Rules of all other keys are not repeated.
+    wide = right.join(F.broadcast(heavy_keys(hot, ["from_addr"], 100)), "from_addr", "left")
+    assert wide.agg(F.sum(F.coalesce("__parts", F.lit(1)))).first()[0] == right.count() + 9
+
+
 def test_fits_broadcast(spark):
     assert fits_broadcast(spark.range(10), 10) and not fits_broadcast(spark.range(11), 10)
 
