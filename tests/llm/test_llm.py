@@ -233,10 +233,3 @@ def test_salvage():
     got = list(warc.salvage(bytes(data)))
     assert [g[0] for g in got] == ["record"] * 4 + ["gap"] + ["record"] * 4
     assert (got[4][1], got[4][2]) == (at, at + len(records[4])) and list(warc.salvage(b"")) == []
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["op1_weak_labels", "op2_hilbert_packing", "op6_secret_forest", "op7_elias_fano_lm",
-                                  "op8_wavelet_tokens", "op10_warc_salvage", "pipeline"])
-def test_query_without_sql(spark, name):
-    assert entry_points.queries()[name](spark, SF).count() > 0
