@@ -33,6 +33,8 @@ _CUTS = {
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _SHOWN} | {
     b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+# Signs that end a word, none of them a letter, digit or blank.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -112,8 +114,70 @@ class Encoder:
         return first + b"".join([known.get(w) or learned[w] for w in words])
 
 
+class ByteEncoder(Encoder):
+    """The byte-level kind, whose words carry signs and case and so are met seldom.
+
+    A word is cut into letters and the signs behind them before a lookup. Both memories keep
+    what is met once; when they are full they become the old ones, which stay for lookups
+    until the next time, so frequent words are not learned anew.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path, "byte")
+        self.old_words: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.old_pieces.get(piece)
+        if ids is None:
+            if piece.isascii() and piece.isprintable():
+                shown = piece.replace(" ", _BYTES[32])
+            else:
+                shown = piece.encode().decode("latin-1").translate(_BYTES)
+            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(piece) <= LONG:
+            self.pieces[piece] = ids
+        return ids
+
+    def _cut(self, given: str) -> bytes:
+        if not _PLAIN.fullmatch(given):
+            return self.whole(given)
+        return b"".join([self.pieces.get(p) or self._piece(p) for p in self.cut(given)])
+
+    def _word(self, word: str) -> bytes:
+        letters = word.rstrip(_SIGNS)
+        if not letters.isalpha() or not (letters.isascii() or _PLAIN.fullmatch(letters)):
+            return self._cut(word if word[:1] == "\n" else " " + word)
+        piece = " " + letters
+        ids = self.pieces.get(piece) or self._piece(piece)
+        signs = word[len(letters):]
+        return ids + (self.pieces.get(signs) or self._piece(signs)) if signs else ids
+
+    def ids(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if _ODD.search(text):
+            return self.whole(text)
+        if _TWO_BLANKS.search(text):  # blanks in a row are pieces of their own
+            return self._cut(text)
+        head, *words = text.replace("\n", " \n").split(" ")
+        if len(self.words) + len(self.pieces) > MEMORY // 2:
+            self.old_words, self.old_pieces, self.words, self.pieces = self.words, self.pieces, {}, {}
+        found = list(map(self.words.get, words))
+        if None in found:
+            old = self.old_words.get
+            for at, ids in enumerate(found):
+                if ids is None:
+                    w = words[at]
+                    # Two of a new word in one text: the second finds what the first left.
+                    ids = found[at] = self.words.get(w) or old(w) or self._word(w)
+                    if len(w) <= LONG:
+                        self.words[w] = ids
+        return (self._cut(head) if head else b"") + b"".join(found)
+
+
 def encoder(path: str, kind: str) -> Encoder:
     """One encoder for each worker process."""
     if (path, kind) not in _ENCODERS:
-        _ENCODERS[path, kind] = Encoder(path, kind)
+        _ENCODERS[path, kind] = ByteEncoder(path) if kind == "byte" else Encoder(path, kind)
     return _ENCODERS[path, kind]
