@@ -10,7 +10,10 @@ linear scorer on hashed words and word shapes, which then scores every whole tex
 from __future__ import annotations
 
 import re
+import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailloom.llm.common import kept, small_batches
@@ -53,8 +56,6 @@ def votes() -> dict[str, Column]:
 
 def fit_votes(patterns: list[tuple[str, int]], rounds: int = ROUNDS) -> dict[str, float]:
     """Posterior of good for each pattern of votes ("1", "0", "-"), by EM from majority votes."""
-    import numpy as np
-
     if not patterns:
         return {}
     v = np.array([[{"1": 1, "0": 0, "-": -1}[c] for c in p] for p, _ in patterns])
@@ -75,44 +76,45 @@ def fit_votes(patterns: list[tuple[str, int]], rounds: int = ROUNDS) -> dict[str
 
 _find = re.compile("[^ \t\n\x0b\x0c\r]+").findall
 _SHAPES = [(re.compile(p), r) for p, r in (("[a-zß-öø-ÿ]+", "a"), ("[A-ZÀ-ÖØ-Þ]+", "A"), ("[0-9]+", "0"))]
-_KNOWN: dict[str, tuple[int, int]] = {}
-
+class _Slots(dict):
+    """Hashed features of words: the word in lower case, and (in the upper bits) its shape.
 
-def _slots(word: str) -> tuple[int, int]:
-    """Hashed features of a word: itself in lower case, and its shape."""
-    import zlib
+    The shape is that of the first 40 characters.
+    """
 
-    if word not in _KNOWN:
-        if len(_KNOWN) > 200_000:
-            _KNOWN.clear()
+    def __missing__(self, word: str) -> int:
         shape = word[:40]
         for pattern, sign in _SHAPES:
             shape = pattern.sub(sign, shape)
-        _KNOWN[word] = (zlib.crc32(word.lower().encode()) % DIMS, zlib.crc32(b"\1" + shape.encode()) % DIMS)
-    return _KNOWN[word]
+        if len(self) > 200_000:
+            self.clear()
+        both = zlib.crc32(word.lower().encode()) % DIMS + (zlib.crc32(b"\1" + shape.encode()) % DIMS << 32)
+        self[word] = both
+        return both
+
+
+_SLOTS = _Slots()
 
 
 def hashed(text: str):
     """(slots, values) of a text; values are roots of shares of its words."""
-    import numpy as np
-
     words = _find(text)
     if not words:
         return np.array([0]), np.array([1.0])
-    a = np.array([_slots(w) for w in words]).ravel()
-    a = np.append(a, (np.full(len(words) - len(set(words)), DIMS + 1)))  # repeated words
-    slots, n = np.unique(a, return_counts=True)
+    both = np.fromiter(map(_SLOTS.__getitem__, words), "i8", len(words))
+    slots, n = np.unique(np.concatenate([both & 0xFFFFFFFF, both >> 32]), return_counts=True)
+    again = len(words) - len(set(words))
+    if again:  # repeated words
+        slots, n = np.append(slots, DIMS + 1), np.append(n, again)
     return slots, np.sqrt(n / len(words))
 
 
-def train(rows: list[tuple[str, float]], steps: int = 150):
-    """Weights of a logistic scorer on (text, posterior); the last is the constant."""
-    import numpy as np
-
+def train(rows, steps: int = 150):
+    """Weights of a logistic scorer on ((slots, values), posterior); the last is the constant."""
     w = np.zeros(DIMS + 3)
     if not rows:
         return w
-    made = [hashed(t) for t, _ in rows]
+    made = [m for m, _ in rows]
     y = np.array([p for _, p in rows])
     col, val = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
     row = np.repeat(np.arange(len(made)), [len(m[0]) for m in made])
@@ -130,31 +132,43 @@ def train(rows: list[tuple[str, float]], steps: int = 150):
     return w
 
 
+def _sample(voted: DataFrame, rows: int) -> DataFrame:
+    """(row_key, pattern, slots, shares) of the `rows` different texts with the smallest row keys,
+    hashed in tasks: no text reaches the driver."""
+    few = voted.select("row_key").distinct().orderBy("row_key").limit(rows)
+
+    def run(batches):
+        for pdf in batches:
+            made = [hashed(t) for t in pdf["text"]]
+            yield pd.DataFrame({
+                "row_key": pdf["row_key"], "pattern": pdf["pattern"],
+                "slots": [s.astype("i8").tobytes() for s, _ in made], "shares": [v.tobytes() for _, v in made]})
+
+    own = voted.join(F.broadcast(few), "row_key").select("row_key", "pattern", "text")
+    return own.mapInPandas(run, "row_key long, pattern string, slots binary, shares binary").dropDuplicates(["row_key"])
+
+
 def classify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, posterior, score, kept) for each row of `docs` (doc_id, text).
 
     posterior is the label model's chance that the text is good, score the linear scorer's,
     kept says that the score is a half or more. Null and empty texts have a defined score and
-    are not kept. At most `sample_rows` rows, those with the smallest hashes of doc_id and
-    text, train the scorer; votes are counted over all rows. An empty table gives no rows.
+    are not kept. At most `sample_rows` different rows, those with the smallest hashes of doc_id
+    and text, train the scorer; votes are counted over all rows. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     made = measured(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     pattern = F.concat(*[F.coalesce(v.cast("string"), F.lit("-")) for v in votes().values()])
-    voted = kept(made.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), pattern.alias("pattern")), "votes")
+    # The measures are taken once: texts are written beside their votes, for the scorer to read.
+    voted = kept(made.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"),
+                             pattern.alias("pattern")), "votes")
     counts = [(r["pattern"], r["count"]) for r in voted.groupBy("pattern").count().orderBy("pattern").toLocalIterator()]
     posterior = fit_votes(counts)
-    few = voted.orderBy("row_key").limit(sample_rows).select("row_key", "pattern").distinct()
-    texts = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key"),
-                        F.coalesce("text", F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(few), "row_key").select("pattern", "text").toLocalIterator()
-    weights = train([(r["text"], posterior[r["pattern"]]) for r in sample])
-    small_batches(spark)
+    weights = train([((np.frombuffer(r["slots"], "i8"), np.frombuffer(r["shares"], "f8")), posterior[r["pattern"]])
+                     for r in _sample(voted, sample_rows).orderBy("row_key").toLocalIterator()])
 
     def run(batches):
-        import numpy as np
-        import pandas as pd
-
         for pdf in batches:
             s = []
             for text in pdf["text"]:
@@ -167,5 +181,5 @@ def classify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     # At most 3**9 patterns, held as a literal of the plan.
     chance = F.create_map(*[F.lit(x) for p, g in posterior.items() for x in (p, g)]) if posterior else None
     p = F.lit(0.5) if chance is None else F.element_at(chance, F.col("pattern"))
-    scored = made.select("doc_id", "text", pattern.alias("pattern")).select("doc_id", "text", p.alias("posterior"))
+    scored = voted.select("doc_id", "text", p.alias("posterior"))
     return scored.mapInPandas(run, "doc_id long, posterior double, score double, kept boolean")
