@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mailloom import fixed
 from mailloom.taxonomy import Taxonomy
 
+# A number as text: decimal digits, single underscores between them, or a word for infinity.
+_DIGITS = "[0-9](_?[0-9])*"
+NUMBER = rf"^([+-]?(({_DIGITS}[.]?({_DIGITS})?|[.]{_DIGITS})(e[+-]?{_DIGITS})?|inf|infinity)|nan)$"
 PARSED = "struct<tag:string,subtags:array<string>,confidence:double,rationale:string>"
 
 
@@ -32,12 +35,12 @@ def with_parsed_reply(replies: DataFrame, raw: str, column: str = "reply") -> Da
 
     js = F.col("__js")
     one_value = F.json_array_length(F.concat(F.lit("["), js, F.lit("]"))) == 1
-    number_text = F.trim(field("confidence", "string"))
+    number_text = F.lower(F.trim(field("confidence", "string")))
     confidence = (
         F.when(F.col("__tc").isNull(), F.lit(0.0))
         .when(
             F.col("__tc") == "STRING",
-            F.when(~F.rlike(number_text, F.lit("(?i)[df]$")), number_text.try_cast("double")),
+            F.when(F.rlike(number_text, F.lit(NUMBER)), F.translate(number_text, "_", "").try_cast("double")),
         )
         .when(F.col("__tc") == "BOOLEAN", field("confidence", "boolean").cast("double"))
         .when(

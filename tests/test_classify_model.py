@@ -19,9 +19,9 @@ def now():
 @pytest.fixture(scope="module")
 def messages(make, tax):
     return intake.index_messages(make.raw([
-        ("INBOX", 10, 1, "a", "SALE 50% off", "promo@shop.com"),
-        ("INBOX", 10, 2, "b", "your invoice", "bank@bank.com"),
-        ("INBOX", 10, 3, "c", "hello there", "bob@friend.com"),
+        ("INBOX", 10, 1, "a", "SALE, now 30% off", "offers@store.net"),
+        ("INBOX", 10, 2, "b", "invoice no 7", "billing@lender.org"),
+        ("INBOX", 10, 3, "c", "lunch on friday", "ann@pals.net"),
     ]), tax).cache()
 
 
@@ -50,8 +50,8 @@ def test_rules_pass_counts_and_rerun(messages, make, tax):
 
 def test_sender_rule_overrides_and_subtag_only_change_is_kept(messages, make, tax):
     log = cl.classify_rules(messages, make.rules([]), make.log([], tax.content_hash), tax, now(), 1)
-    rules = make.rules([("addr", "promo@shop.com", "keep", None),
-                        ("addr", "bank@bank.com", "receipt", "bank")])
+    rules = make.rules([("addr", "offers@store.net", "keep", None),
+                        ("addr", "billing@lender.org", "receipt", "bank")])
     second = cl.classify_rules(messages, rules, log, tax, now(), 2)
     assert rows_of(second, "uid", "tag", "method") == [(1, "keep", "sender_rule")]
 
@@ -94,13 +94,13 @@ def test_residue_and_limit(messages, make, tax):
 
 def test_payload(messages, tax):
     row = model.build_payload(messages, tax, keep=KEY).filter("uid = 1").first()
-    assert row.payload == ("From: promo@shop.com\nSubject: SALE 50% off\nDate: 2026-01-01T00:00:00\n"
+    assert row.payload == ("From: offers@store.net\nSubject: SALE, now 30% off\nDate: 2026-01-01T00:00:00\n"
                            "Snippet: \nKeyword hint (advisory, may be wrong): junk")
     assert not row.truncated
 
 
 def test_payload_cut(make, tax):
-    m = intake.index_messages(make.raw([("A", 1, 1, "a", "s", "a@x.com", "word " * 500)]), tax)
+    m = intake.index_messages(make.raw([("A", 1, 1, "a", "s", "a@x.com", "some running text " * 120)]), tax)
     row = model.build_payload(m, tax, 60, KEY).first()
     assert row.truncated and len(row.payload) <= 240
 
@@ -110,9 +110,15 @@ def test_payload_cut(make, tax):
 # raw reply, then (tag, subtags, confidence, rationale) or None when invalid
 REPLIES = [
     ('{"tag":"keep"}', ("keep", [], 0.0, "")),
-    ('here you go: {"tag":"junk","confidence":0.9} done', ("junk", [], 0.9, "")),
+    ('Reply follows >> {"tag":"junk","confidence":0.9} << end', ("junk", [], 0.9, "")),
     ('{"tag":"keep","confidence":"0.8"}', ("keep", [], 0.8, "")),
     ('{"tag":"keep","confidence":" 0.8 "}', ("keep", [], 0.8, "")),
+    ('{"tag":"keep","confidence":"1_0.5_0"}', ("keep", [], 10.5, "")),
+    ('{"tag":"keep","confidence":"-Inf"}', ("keep", [], float("-inf"), "")),
+    ('{"tag":"keep","confidence":"infinity"}', ("keep", [], float("inf"), "")),
+    ('{"tag":"keep","confidence":"0x1p3"}', None),
+    ('{"tag":"keep","confidence":"1d"}', None),
+    ('{"tag":"keep","confidence":"1__0"}', None),
     ('{"tag":"keep","confidence":true}', ("keep", [], 1.0, "")),
     ('{"tag":"keep","confidence":1}', ("keep", [], 1.0, "")),
     ('{"tag":"keep","confidence":1e-1}', ("keep", [], 0.1, "")),
@@ -220,7 +226,7 @@ LOW = '{"tag":"keep","subtags":["receipt/bank"],"confidence":0.4,"rationale":"un
 
 def test_completer_retry_and_failure(messages, make, tax, tmp_path):
     got = run(messages, make, tax, {
-        "SALE 50% off": [GOOD], "your invoice": ["garbage", GOOD], "hello there": ["no", None],
+        "SALE, now 30% off": [GOOD], "invoice no 7": ["garbage", GOOD], "lunch on friday": ["no", None],
     }, str(tmp_path))
     assert (got[1].tag, got[1].subtags, got[1].confidence, got[1].rationale) == (
         "receipt", ["bank"], 0.8, "ok")
@@ -230,7 +236,7 @@ def test_completer_retry_and_failure(messages, make, tax, tmp_path):
 
 
 def test_completer_abstains(messages, make, tax, tmp_path):
-    script = {"hello there": [LOW, LOW]}
+    script = {"lunch on friday": [LOW, LOW]}
     got = run(messages.filter("uid = 3"), make, tax, script, str(tmp_path))
     assert (got[3].tag, got[3].subtags, got[3].confidence, got[3].rationale) == (
         "unclassified", [], 0.4, "unsure")
@@ -258,7 +264,7 @@ def test_replay_equals_completer(spark, messages, make, tax, tmp_path):
     table = spark.createDataFrame(
         [("INBOX", 10, uid, i, raw) for uid, raws in script.items() for i, raw in enumerate(raws, 1)],
         "folder string, uidvalidity bigint, uid bigint, attempt int, raw string")
-    subjects = {1: "SALE 50% off", 2: "your invoice", 3: "hello there"}
+    subjects = {1: "SALE, now 30% off", 2: "invoice no 7", 3: "lunch on friday"}
     called = run(messages, make, tax, {subjects[u]: raws for u, raws in script.items()},
                  str(tmp_path))
     replayed = model.classify_llm_batch(messages, tax, "m1", now(), 1, replies=table).collect()
@@ -270,8 +276,8 @@ def test_replay_equals_completer(spark, messages, make, tax, tmp_path):
 
 def test_audit(make, tax):
     m = intake.index_messages(make.raw([
-        ("A", 1, 1, "a", "Big SALE 50% off", "x@y.z", "unsubscribe"), ("A", 1, 2, "b", "hello"),
-        ("A", 1, 3, "c", "your invoice"), ("A", 1, 4, "d", "sale"),
+        ("A", 1, 1, "a", "Big SALE, now 30% off", "x@y.z", "unsubscribe"), ("A", 1, 2, "b", "hello"),
+        ("A", 1, 3, "c", "invoice no 7"), ("A", 1, 4, "d", "sale"),
     ]), tax)
     log = make.log([("A", 1, 1, "keep", DAY, 1), ("A", 1, 2, "keep", DAY, 1),
                     ("A", 1, 3, "receipt", DAY, 1), ("A", 1, 4, "unclassified", DAY, 1)],

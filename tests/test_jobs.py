@@ -92,23 +92,23 @@ def test_half_written_run_is_invisible(spark, state, make, tax):
 
 def test_whole_flow(spark, state, make, tax, tmp_path):
     ingest(spark, state, tax, make.raw([
-        ("INBOX", 10, 1, "a", "SALE 50% off", "promo@shop.com"),
-        ("INBOX", 10, 2, "b", "your invoice", "bank@bank.com"),
-        ("INBOX", 10, 3, "c", "hello, \"there\"", "bob@friend.com"),
+        ("INBOX", 10, 1, "a", "SALE, now 30% off", "offers@store.net"),
+        ("INBOX", 10, 2, "b", "invoice no 7", "billing@lender.org"),
+        ("INBOX", 10, 3, "c", "hello, \"there\"", "ann@pals.net"),
         ("INBOX", 10, 4, "", "Big sale unsubscribe", "boss@work.com"),
     ]))
     decide = spark.createDataFrame([
         ("boss@work.com", "addr", "set", "keep", None, "me", T0, 1),
-        ("bank.com", "domain", "set", "receipt/bank", None, "me", T0, 2),
-        ("friend.com", "domain", "defer", None, "ask", "me", T0, 3),
-        ("bob@friend.com", "addr", "accept", None, None, "me", T0, 4),
-        ("promo@shop.com", "addr", "accept", None, None, "me", T0, 5),
+        ("lender.org", "domain", "set", "receipt/bank", None, "me", T0, 2),
+        ("pals.net", "domain", "defer", None, "ask", "me", T0, 3),
+        ("ann@pals.net", "addr", "accept", None, None, "me", T0, 4),
+        ("offers@store.net", "addr", "accept", None, None, "me", T0, 5),
     ], DECISION)
     assert rows_of(jobs.apply_decisions(spark, state, decide, tax), "key", "rejected") == [
-        ("bob@friend.com", "no hint")]
+        ("ann@pals.net", "no hint")]
     queue = {(r.scope, r.key): (r.status, r.current_leaf) for r in jobs.review_queue(spark, state).collect()}
-    assert queue[("domain", "friend.com")] == ("deferred", None)
-    assert queue[("addr", "promo@shop.com")] == ("decided", "junk")
+    assert queue[("domain", "pals.net")] == ("deferred", None)
+    assert queue[("addr", "offers@store.net")] == ("decided", "junk")
     assert jobs.coverage(spark, state, tax).first()["covered"] == 3
 
     assert tuple(jobs.classify_rules(spark, state, tax, T0).first()) == (4, 3, 0, 1)
@@ -133,13 +133,13 @@ def test_whole_flow(spark, state, make, tax, tmp_path):
 
     jobs.export_rules(spark, state, str(tmp_path / "out"))
     assert page(tmp_path / "out/rules.tsv") == [
-        "scope\tkey\tleaf", "addr\tboss@work.com\tkeep", "addr\tpromo@shop.com\tjunk",
-        "domain\tbank.com\treceipt/bank"]
+        "scope\tkey\tleaf", "addr\tboss@work.com\tkeep", "addr\toffers@store.net\tjunk",
+        "domain\tlender.org\treceipt/bank"]
     jobs.export_rules(spark, state, str(tmp_path / "out"), "sieve")
     assert page(tmp_path / "out/rules.sieve")[:3] == [
         'require ["fileinto"];', "", 'if address :is "from" "boss@work.com" { fileinto "keep"; }']
     assert page(tmp_path / "out/rules.sieve")[-1] == (
-        'if address :domain :is "from" "bank.com" { fileinto "receipt/bank"; }')
+        'if address :domain :is "from" "lender.org" { fileinto "receipt/bank"; }')
 
     jobs.sender_report(spark, state, tax, str(tmp_path / "senders"), 2)
     assert page(tmp_path / "senders")[0] == "# Top 2 senders" and len(page(tmp_path / "senders")) == 8
@@ -148,7 +148,7 @@ def test_whole_flow(spark, state, make, tax, tmp_path):
     text = page(tmp_path / "summary")
     assert "- Classified: 4 (100.0%)" in text and "- Open audit findings: 1" in text
     assert "- sender_rule: 3 (75.0%)" in text and "### notification" in text
-    assert '- [0.72] notification — bob@friend.com: hello, "there"' in text
+    assert '- [0.72] notification — ann@pals.net: hello, "there"' in text
     assert not any("to triage" in line for line in text)
 
     cover, folders = jobs.status(spark, state, ["INBOX", "Nowhere"])
@@ -157,8 +157,8 @@ def test_whole_flow(spark, state, make, tax, tmp_path):
 
 
 def test_stale_rule_is_ignored(spark, state, make, tax):
-    ingest(spark, state, tax, make.raw([("INBOX", 10, 3, "c", "hello", "bob@friend.com")]))
-    decide = spark.createDataFrame([("bob@friend.com", "addr", "set", "keep", None, "me", T0, 1)], DECISION)
+    ingest(spark, state, tax, make.raw([("INBOX", 10, 3, "c", "hello", "ann@pals.net")]))
+    decide = spark.createDataFrame([("ann@pals.net", "addr", "set", "keep", None, "me", T0, 1)], DECISION)
     jobs.apply_decisions(spark, state, decide, tax)
     from mailloom.taxonomy import Taxonomy
 

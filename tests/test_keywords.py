@@ -8,13 +8,13 @@ from mailloom.functions import keywords as kw
 from mailloom.taxonomy import KeywordRule, Tag, Taxonomy
 
 CASES = [
-    ("Big SALE 50% off", "", "junk"),
+    ("Big SALE, now 30% off", "", "junk"),
     ("hello", "", None),
     ("wholesale", "", "junk"),
-    ("your invoice", "", "receipt"),
+    ("invoice no 7", "", "receipt"),
     ("invoice on sale", "", "junk"),
     ("hi", "please UNSUBSCRIBE", "junk"),
-    ("hi", "your invoice", None),
+    ("hi", "invoice no 7", None),
     ("this", "week", "newsletter"),
     ("limited", "offer", "junk"),
 ]
@@ -45,8 +45,8 @@ def test_unknown_field_and_no_rules(spark, limit):
 
 def test_contradiction(spark, tax, limit):
     df = spark.createDataFrame([
-        ("keep", "Big SALE 50% off", "unsubscribe"), ("junk", "invoice sale", ""),
-        ("junk", "sale", "hi"), ("receipt", "this", "week"), ("keep", "hi", "your invoice"),
+        ("keep", "Big SALE, now 30% off", "unsubscribe"), ("junk", "invoice sale", ""),
+        ("junk", "sale", "hi"), ("receipt", "this", "week"), ("keep", "hi", "invoice no 7"),
     ], "tag string, subject string, snippet string")
     hits = kw.with_signals(df, tax).select(kw.first_contradiction("tag").alias("hit"))
     got = [r.hit for r in hits.collect()]

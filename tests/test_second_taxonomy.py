@@ -12,7 +12,7 @@ from mailloom.sources import state as tables
 
 def mail(make, tax):
     return intake.index_messages(make.raw([
-        ("INBOX", 1, 1, "a", "Sale now", "x@shop.com", "half price"),
+        ("INBOX", 1, 1, "a", "Sale now", "x@store.net", "half price"),
         ("INBOX", 1, 2, "b", "quarterly zebra", "y@zoo.com", "stripes"),
     ]), tax)
 
@@ -50,7 +50,7 @@ def test_a_later_run_wins_a_tie(spark, state):
 
     def one(tag, seq):
         row = {f: None for f in DECISION_LOG.names} | {
-            "action": "set", "scope": "addr", "key": "x@shop.com", "decided_by": "t", "decided_at": DAY,
+            "action": "set", "scope": "addr", "key": "x@store.net", "decided_by": "t", "decided_at": DAY,
             "seq": seq, "tag": tag}
         return spark.createDataFrame([tuple(row[f] for f in DECISION_LOG.names)], DECISION_LOG)
 

@@ -38,7 +38,7 @@ def test_snippet_reads_past_very_long_space(spark):
 
 
 def test_domain(spark):
-    assert one(spark, "X@Y@Shop.COM", tx.domain_of) == "shop.com"
+    assert one(spark, "X@Y@Store.NET", tx.domain_of) == "store.net"
     assert one(spark, "Mailer-Daemon", tx.domain_of) == ""
 
 
