@@ -407,8 +407,7 @@ _ANSWER = ("CASE WHEN n % 3 = 0 THEN 'no' ELSE concat('{\"tag\":\"', " + _list(_
 
 ORACLE: dict[str, str] = {
     "scan_raw": _sql(
-        f"SELECT folder, uid, from_addr, subject, {_iso('date')} AS date, size FROM mail"
-        " WHERE folder = 'INBOX'", "mail"),
+        f"SELECT folder, uid, from_addr, subject, {_iso('date')} AS date, size FROM mail", "mail"),
     "clean_raw": """
         SELECT 'Pages' AS folder, CAST(1 AS BIGINT) AS uidvalidity, page_id AS uid,
                md5(url) AS message_id,
@@ -577,8 +576,14 @@ ORACLE: dict[str, str] = {
                {_RESOLVED_METHOD.format(hint='NULL')} AS method,
                CASE WHEN rule_tag IS NOT NULL THEN 1.0 END AS confidence FROM resolved""",
         "resolved"),
-    "first_rule": _sql(
-        "SELECT folder, keyword_hint, count(*) AS n FROM hinted GROUP BY ALL", "hinted"),
+    "first_rule": _sql(f"""
+        SELECT folder, uidvalidity, uid, f.tag AS suspected_tag, array_to_string(f.kws, ',') AS trigger_keywords
+        FROM (SELECT *, list_filter([
+                {{'tag': 'junk', 'kws': {_matched(_JUNK)}}}, {{'tag': 'receipt', 'kws': {_matched(_RECEIPT)}}},
+                {{'tag': 'notification', 'kws': {_matched(_NOTE)}}}, {{'tag': 'newsletter', 'kws': {_matched(_NEWS)}}}],
+                lambda s: len(s.kws) > 0)[1] AS f
+              FROM (SELECT *, lower(concat(subject, chr(10), snippet)) AS h FROM hinted))
+        WHERE f IS NOT NULL""", "hinted"),
     "coverage": _sql("""
         SELECT total, covered, round(covered / total, 6) AS fraction,
                covered / total < 0.6 AS below_target

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from mailloom import taxonomy as tx
 from mailloom.functions import reply as replying
 from mailloom.functions import text as texts
+from mailloom.functions.keywords import with_signals
 from mailloom.functions.text import comma_text, iso_text, leaf_of
 from mailloom.operators import audit as audits
 from mailloom.operators import classify as classes
@@ -75,8 +76,10 @@ def _counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scan_raw(spark, sf):
-    return _plain(fx.mail(spark, sf).filter("folder = 'INBOX'").select(
-        "folder", "uid", "from_addr", "subject", "date", "size"))
+    """Raw mail landed as files and read back by its schema."""
+    path = fresh_path(spark, "landing")
+    fx.mail(spark, sf).write.parquet(path)
+    return _plain(read_raw(spark, path).select("folder", "uid", "from_addr", "subject", "date", "size"))
 
 
 @query
@@ -494,7 +497,12 @@ def resolve_many_rules(spark, sf):
 
 @query
 def first_rule(spark, sf):
-    return fx.indexed(spark, sf).groupBy("folder", "keyword_hint").agg(F.count("*").alias("n"))
+    """The first rule that the audit sees in subject and snippet, with its keywords."""
+    texts_ = fx.indexed(spark, sf).select(*KEY, "subject", "snippet")
+    first = F.get("signals", F.lit(0))
+    return with_signals(texts_, TAX).filter(first.isNotNull()).select(
+        *KEY, first["suspected_tag"].alias("suspected_tag"),
+        F.array_join(first["trigger_keywords"], ",").alias("trigger_keywords"))
 
 
 @query
