@@ -194,8 +194,9 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT, width: int = WIDTH
 def keep_first(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of `df` with one document of each component: the smallest doc_id, once.
 
-    Rows without doc_id stay.
+    Different texts under one doc_id all stay, rows that repeat id and text count once, and
+    rows without doc_id stay.
     """
     firsts = jaccard_components(df, percent).filter("doc_id = component_id").select("doc_id").distinct()
     named = df.filter("doc_id IS NOT NULL").join(firsts, "doc_id", "left_semi").select(*df.columns)
-    return named.dropDuplicates(["doc_id"]).union(df.filter("doc_id IS NULL"))
+    return named.dropDuplicates(["doc_id", "text"]).union(df.filter("doc_id IS NULL"))

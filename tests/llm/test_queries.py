@@ -179,7 +179,7 @@ def test_findings_of_the_table(spark):
     assert got == sorted((d, s, len(c)) for d, t in docs for s, c in spans(t))
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
     """Survivors and masks of each stage by brute force, then whole texts in the pieces."""
     import corpus_pipeline
     from mailloom.llm.common import kept, table
@@ -191,10 +191,9 @@ def test_pipeline(spark):
         after = kept(stage(spark, docs, SF), name)
         con = duckdb.connect()
         con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{SF}/benchmark.parquet'")
-        docs.toPandas().to_parquet(path := f"/tmp/stage-{os.getpid()}-{name}.parquet")
+        docs.toPandas().to_parquet(path := str(tmp_path / f"{name}.parquet"))
         con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
         got = {r.doc_id: r.text for r in after.collect()}
-        os.remove(path)
         if name == "quality_rules":
             left = {d for d, in con.execute(f"SELECT doc_id FROM ({quality_sql()}) WHERE kept").fetchall()}
         elif name == "ngram_jaccard":
@@ -210,3 +209,32 @@ def test_pipeline(spark):
         docs = after
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {r.doc_id for r in pieces} == set(got)
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Every stage keeps the columns; null, empty, long and repeated rows come to a defined end."""
+    import corpus_pipeline
+    from mailloom.llm.common import kept
+
+    good = " ".join(f"the {w} of and to in {w}ing that it is was for on" for w in ("garden", "river", "stone", "letter", "winter"))
+    long = " ".join(f"the word {i} of and it was so" for i in range(20_000))
+    odd = [(1, None), (2, ""), (3, " \n"), (4, good), (5, good), (5, good), (6, long), (None, good + " at the end of it")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = spark.createDataFrame([(d, t, None, "s", 0) for d, t in odd], schema)
+    for docs in (frame, frame.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = kept(stage(spark, docs, SF), name)
+            assert docs.columns == frame.columns
+        left = sorted((str(r.doc_id), r.text) for r in docs.collect())
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        assert pieces.select("doc_id").distinct().count() == len({d for d, _ in left})
+        if left:
+            assert ("4", good) in left and "5" not in dict(left) and not {"1", "2", "3"} & set(dict(left))
+
+
+def test_keep_first_loses_no_text(spark):
+    from mailloom.llm import jaccard
+
+    rows = [(1, "one text of six words here"), (1, "quite another text of seven words here"), (1, "one text of six words here")]
+    got = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(set(rows))
