@@ -114,6 +114,20 @@ class Encoder:
         return first + b"".join([known.get(w) or learned[w] for w in words])
 
 
+def _has_odd(text: str) -> bool:
+    """As a search for _ODD; in ASCII text by the few signs that it may hold."""
+    if text.isascii():
+        return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+    return _ODD.search(text) is not None
+
+
+def _has_two_blanks(text: str) -> bool:
+    """As a search for _TWO_BLANKS; by four pairs where spaces and line ends are all blanks."""
+    if "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text:
+        return _TWO_BLANKS.search(text) is not None
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+
+
 class ByteEncoder(Encoder):
     """The byte-level kind, whose words carry signs and case and so are met seldom.
 
@@ -156,9 +170,9 @@ class ByteEncoder(Encoder):
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
+        if _has_odd(text):
             return self.whole(text)
-        if _TWO_BLANKS.search(text):  # blanks in a row are pieces of their own
+        if _has_two_blanks(text):  # blanks in a row are pieces of their own
             return self._cut(text)
         head, *words = text.replace("\n", " \n").split(" ")
         if len(self.words) + len(self.pieces) > MEMORY // 2:
