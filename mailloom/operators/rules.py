@@ -36,8 +36,12 @@ def valid_rules(rules: DataFrame, taxonomy: Taxonomy) -> DataFrame:
 
 
 def stale_rules(rules: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Rules of many versions against a table (version, leaf)."""
-    return with_leaf(rules).join(leaves, ["version", "leaf"], "left_anti")
+    """Rules of many versions against a table (version, leaf).
+
+    The leaves grow with the versions, and Spark takes those made from few bytes for few rows:
+    a merge join, so that they never meet in the driver.
+    """
+    return with_leaf(rules).join(leaves.hint("merge"), ["version", "leaf"], "left_anti")
 
 
 def _by_scope(rules: DataFrame, scope: str, column: str, out: str) -> DataFrame:

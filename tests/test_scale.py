@@ -147,3 +147,19 @@ def test_log_filter_reaches_the_partitions(spark, state, make, tax):
     tables.append_classification(log, state, tax.content_hash, 1)
     text = plan(cl.latest_classification(tables.read_classifications(spark, state), tax.content_hash))
     assert re.search(r"PartitionFilters: \[[^\]]*taxonomy_hash", text)
+
+
+def _customers(spark, folder, n):
+    spark.range(n).coalesce(1).select(
+        F.expr("CASE WHEN id > 0 THEN id END").alias("c_custkey"), F.concat(F.lit("C#"), "id").alias("c_name"),
+        F.lit("Toys").alias("c_mktsegment")).write.parquet(f"{folder}/customer.parquet")
+
+
+def test_leaves_of_many_versions_stay_out_of_the_driver(spark, tmp_path):
+    _customers(spark, tmp_path, 50)
+    found = QUERIES["stale_rules"](spark, str(tmp_path))
+    assert "Broadcast" not in plan(found)
+    # 'junk' and 'toys' of each customer; without a version no leaf is known.
+    assert sorted(rows_of(found, "version", "leaf"), key=str) == sorted(
+        [(f"v1-{i}", "junk") for i in range(1, 50)]
+        + [(None, t) for t in ("junk", "receipt", "notification", "newsletter", "toys")], key=str)
