@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from mailloom.functions.text import comma_list, domain_of
 from mailloom.operators.intake import dedup_messages, index_messages
 from mailloom.schemas import struct
-from mailloom.session import settled
+from mailloom.session import settled, spread
 from mailloom.taxonomy import Taxonomy, load_taxonomy
 
 TAXONOMY: Taxonomy = load_taxonomy()
@@ -42,6 +42,7 @@ MAIL = {
 RUN_TS = "2026-06-01 00:00:00"
 MODEL_ID = "recorded"
 PAYLOAD_BUDGET = 60
+CUSTOMERS_A_TASK = 20_000
 
 
 def ntz(text: str):
@@ -235,6 +236,15 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(version, c_mktsegment, c_name), one row per customer. Each row becomes many tags or
+    rules, so the tasks follow the number of customers, not the few bytes of their file."""
+    customers = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("v1-"), F.col("c_custkey").cast("string")).alias("version"),
+        "c_mktsegment", "c_name")
+    return spread(customers, CUSTOMERS_A_TASK, "version")
+
+
 def taxonomy_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One taxonomy version per customer; its segment may add a tag of its own."""
     tags = F.array(*[
@@ -248,10 +258,7 @@ def taxonomy_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Mail of the segment.").alias("definition"),
         F.array(F.concat(F.lower("c_mktsegment"), F.lit("/"), F.lower("c_name"))).alias("subtags"),
     )
-    return table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("v1-"), F.col("c_custkey").cast("string")).alias("version"),
-        F.inline(F.array_append(tags, own)),
-    )
+    return _versions(spark, sf_dir).select("version", F.inline(F.array_append(tags, own)))
 
 
 def taxonomy_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,10 +274,7 @@ def taxonomy_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("array<string>").alias("fields"),
         F.array("c_mktsegment").alias("keywords"),
     )
-    return table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("v1-"), F.col("c_custkey").cast("string")).alias("version"),
-        F.inline(F.array_append(rows, own)),
-    )
+    return _versions(spark, sf_dir).select("version", F.inline(F.array_append(rows, own)))
 
 
 def landed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,14 @@ def observed(df: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
     return settled(df.observe(seen, *measures)), seen.get
 
 
+def spread(df: DataFrame, rows: int, *on: str) -> DataFrame:
+    """Dealt out by `on` to about `rows` rows a task, before a step that multiplies rows.
+
+    Meant for stored tables, where a count reads no columns.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), *on)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Count a side before a broadcast is asked for.
 

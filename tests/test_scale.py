@@ -9,6 +9,7 @@ from conftest import DAY, plan, rows_of
 from pyspark.sql import functions as F
 
 from mailloom.operators import classify as cl, decisions as dec, intake, rules, senders, summary
+from mailloom.plans import fixtures
 from mailloom.plans.queries import QUERIES
 from mailloom.session import (
     cluster_conf, fits_broadcast, heavy_keys, narrowed, salted_join, shared_dir, skew_join,
@@ -163,3 +164,17 @@ def test_leaves_of_many_versions_stay_out_of_the_driver(spark, tmp_path):
     assert sorted(rows_of(found, "version", "leaf"), key=str) == sorted(
         [(f"v1-{i}", "junk") for i in range(1, 50)]
         + [(None, t) for t in ("junk", "receipt", "notification", "newsletter", "toys")], key=str)
+
+
+def test_versions_are_spread_by_their_number(spark, tmp_path, monkeypatch):
+    """One small file: its tasks follow the number of customers."""
+    _customers(spark, tmp_path, 1000)
+    monkeypatch.setattr(fixtures, "CUSTOMERS_A_TASK", 50)
+    for made in (fixtures.taxonomy_tags, fixtures.taxonomy_rules):
+        rows = made(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.countDistinct("version").alias("n"))
+        sizes = [r["n"] for r in rows.collect()]
+        assert len(sizes) > 15 and max(sizes) < 100
+    # The set needs no other shuffle, and repeated versions give no leaf twice.
+    leaves = QUERIES["valid_leaves"](spark, str(tmp_path))
+    assert plan(leaves).count("Exchange") == 1
+    assert leaves.count() == leaves.distinct().count() == 999 * 12 + 10 + 1 + 1
