@@ -128,27 +128,43 @@ def _has_two_blanks(text: str) -> bool:
     return "  " in text or "\n\n" in text or " \n" in text or "\n " in text
 
 
+class _Words(dict):
+    """Ids of words; one that is not here is asked of `learn`."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.learn(word)
+        if len(word) <= LONG:
+            self[word] = ids
+        return ids
+
+
 class ByteEncoder(Encoder):
     """The byte-level kind, whose words carry signs and case and so are met seldom.
 
-    A word is cut into letters and the signs behind them before a lookup. Both memories keep
-    what is met once; when they are full they become the old ones, which stay for lookups
-    until the next time, so frequent words are not learned anew.
+    A word is cut into letters, which are a word too, and the signs behind them before a lookup.
+    Both memories keep what is met once; when they are full they become the old ones, which stay
+    for lookups until the next time, so frequent words are not learned anew.
     """
 
     def __init__(self, path: str):
         super().__init__(path, "byte")
+        self.words = _Words(self._word)
         self.old_words: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
 
+    def _merged(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", _BYTES[32])
+        else:
+            shown = piece.encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        ids = self.old_pieces.get(piece)
-        if ids is None:
-            if piece.isascii() and piece.isprintable():
-                shown = piece.replace(" ", _BYTES[32])
-            else:
-                shown = piece.encode().decode("latin-1").translate(_BYTES)
-            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        ids = self.old_pieces.get(piece) or self._merged(piece)
         if len(piece) <= LONG:
             self.pieces[piece] = ids
         return ids
@@ -159,13 +175,16 @@ class ByteEncoder(Encoder):
         return b"".join([self.pieces.get(p) or self._piece(p) for p in self.cut(given)])
 
     def _word(self, word: str) -> bytes:
+        ids = self.old_words.get(word)
+        if ids is not None:
+            return ids
         letters = word.rstrip(_SIGNS)
         if not letters.isalpha() or not (letters.isascii() or _PLAIN.fullmatch(letters)):
             return self._cut(word if word[:1] == "\n" else " " + word)
-        piece = " " + letters
-        ids = self.pieces.get(piece) or self._piece(piece)
         signs = word[len(letters):]
-        return ids + (self.pieces.get(signs) or self._piece(signs)) if signs else ids
+        if not signs:
+            return self._merged(" " + letters)
+        return self.words[letters] + (self.pieces.get(signs) or self._piece(signs))
 
     def ids(self, text: str) -> bytes:
         if not text:
@@ -176,18 +195,9 @@ class ByteEncoder(Encoder):
             return self._cut(text)
         head, *words = text.replace("\n", " \n").split(" ")
         if len(self.words) + len(self.pieces) > MEMORY // 2:
-            self.old_words, self.old_pieces, self.words, self.pieces = self.words, self.pieces, {}, {}
-        found = list(map(self.words.get, words))
-        if None in found:
-            old = self.old_words.get
-            for at, ids in enumerate(found):
-                if ids is None:
-                    w = words[at]
-                    # Two of a new word in one text: the second finds what the first left.
-                    ids = found[at] = self.words.get(w) or old(w) or self._word(w)
-                    if len(w) <= LONG:
-                        self.words[w] = ids
-        return (self._cut(head) if head else b"") + b"".join(found)
+            self.old_words, self.old_pieces = self.words, self.pieces
+            self.words, self.pieces = _Words(self._word), {}
+        return (self._cut(head) if head else b"") + b"".join(map(self.words.__getitem__, words))
 
 
 def encoder(path: str, kind: str) -> Encoder:

@@ -40,10 +40,12 @@ class WaveletMatrix:
         v = v.astype("<u2" if levels <= 16 else "<u4")
         planes, zeros = [], []
         for bit in range(levels - 1, -1, -1):
-            ones = (v >> bit & 1).astype(bool)
+            ones = (v & v.dtype.type(1 << bit)).astype(bool)
+            at = np.flatnonzero(ones)
             planes.append(np.packbits(ones))
-            zeros.append(int(len(v) - ones.sum()))
-            v = np.concatenate([v[~ones], v[ones]])
+            zeros.append(len(v) - len(at))
+            if bit:  # nothing stands below the last plane
+                v = np.concatenate([v.take(np.flatnonzero(~ones)), v.take(at)])
         return cls(planes, zeros, len(v))
 
     def bits(self, level: int):
@@ -59,8 +61,8 @@ class WaveletMatrix:
         for k in range(len(self.planes)):  # from the lowest plane up
             level = len(self.planes) - 1 - k
             ones, out, z = self.bits(level), np.empty_like(v), self.zeros[level]
-            out[~ones] = v[:z]
-            out[ones] = v[z:] | v.dtype.type(1 << k)
+            out[np.flatnonzero(~ones)] = v[:z]
+            out[np.flatnonzero(ones)] = v[z:] | v.dtype.type(1 << k)
             v = out
         return v
 

@@ -233,3 +233,16 @@ def test_salvage():
     got = list(warc.salvage(bytes(data)))
     assert [g[0] for g in got] == ["record"] * 4 + ["gap"] + ["record"] * 4
     assert (got[4][1], got[4][2]) == (at, at + len(records[4])) and list(warc.salvage(b"")) == []
+
+
+def test_byte_memory_holds_a_word_once():
+    """Letters are found again behind a blank and before signs, and are kept once."""
+    from mailloom.llm.tokens import ByteEncoder
+
+    enc = ByteEncoder(path("byte_bpe_50k.json"))
+    for text in ("so Zuqarst, Zuqarst. Zuqarst blorno blorno, (else) other's\nelse é", "a Zuqarst! blorno; " + "y" * 99 + ". ",
+                 "x Ärgö, Ärgö İx, \x85 b", "x Ärgö, İx, Ärgö. 中文, 中文 x1, x1 -- ,"):
+        assert enc.ids(text) == enc.whole(text)
+    kept = [*enc.words, *enc.pieces]
+    for word in ("Zuqarst", "blorno", "Ärgö"):
+        assert [w for w in kept if w in (word, " " + word)] == [word]
