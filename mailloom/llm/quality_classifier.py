@@ -49,7 +49,7 @@ def votes() -> dict[str, Column]:
             q("word_chars").between(3 * n, 8 * n), 1),
         "capitals": mostly("[A-Z]+", 10, 40),
         # Words that follow themselves.
-        "echoes": mostly("(?<!\\S)(\\S{1,40})(?: \\1)+(?!\\S)", 5, 15),
+        "echoes": mostly("(?<!\\S)(\\S{1,40}+)(?: \\1)+(?!\\S)", 5, 15),
         "signs": mostly("[^\\p{L}\\s.,;:'\"()\\-]+", 2, 8),
     }
 
@@ -74,22 +74,51 @@ def fit_votes(patterns: list[tuple[str, int]], rounds: int = ROUNDS) -> dict[str
     return {p: float(g) for (p, _), g in zip(patterns, good)}
 
 
-_find = re.compile("[^ \t\n\x0b\x0c\r]+").findall
 _SHAPES = [(re.compile(p), r) for p, r in (("[a-zß-öø-ÿ]+", "a"), ("[A-ZÀ-ÖØ-Þ]+", "A"), ("[0-9]+", "0"))]
+# The signs of Latin-1 with each letter and digit as its kind: words of one outline have one shape.
+_OUTLINE = b"".join(
+    next((r for p, r in _SHAPES if p.fullmatch(chr(i))), chr(i)).encode("latin-1") for i in range(256))
+
+
+def _shape_slot(start: str) -> int:
+    for pattern, sign in _SHAPES:
+        start = pattern.sub(sign, start)
+    return zlib.crc32(b"\1" + start.encode()) % DIMS << 32
+
+
+class _Outlines(dict):
+    """Shape features by outline."""
+
+    def __missing__(self, outline: bytes) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        slot = self[outline] = _shape_slot(outline.decode("latin-1"))
+        return slot
+
+
+_SHAPE_SLOTS = _Outlines()
+
+
 class _Slots(dict):
-    """Hashed features of words: the word in lower case, and (in the upper bits) its shape.
+    """Hashed features of words in UTF-8: the word in lower case, and (in the upper bits) its shape.
 
     The shape is that of the first 40 characters.
     """
 
-    def __missing__(self, word: str) -> int:
-        shape = word[:40]
-        for pattern, sign in _SHAPES:
-            shape = pattern.sub(sign, shape)
-        if len(self) > 200_000:
+    def __missing__(self, word: bytes) -> int:
+        if word.isascii():
+            lower, start = word.lower(), word[:40]
+        else:
+            text = word.decode()
+            lower, start = text.lower().encode(), text[:40]
+            try:
+                start = start.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+        shape = _SHAPE_SLOTS[start.translate(_OUTLINE)] if isinstance(start, bytes) else _shape_slot(start)
+        if len(self) > 600_000:
             self.clear()
-        both = zlib.crc32(word.lower().encode()) % DIMS + (zlib.crc32(b"\1" + shape.encode()) % DIMS << 32)
-        self[word] = both
+        both = self[word] = zlib.crc32(lower) % DIMS + shape
         return both
 
 
@@ -98,7 +127,7 @@ _SLOTS = _Slots()
 
 def hashed(text: str):
     """(slots, values) of a text; values are roots of shares of its words."""
-    words = _find(text)
+    words = text.encode().split()  # bytes are cut at ASCII blanks alone
     if not words:
         return np.array([0]), np.array([1.0])
     both = np.fromiter(map(_SLOTS.__getitem__, words), "i8", len(words))

@@ -246,3 +246,34 @@ def test_byte_memory_holds_a_word_once():
     kept = [*enc.words, *enc.pieces]
     for word in ("Zuqarst", "blorno", "Ärgö"):
         assert [w for w in kept if w in (word, " " + word)] == [word]
+
+
+def test_word_features_by_outline():
+    """Slots of words are those of their lower case and of their shape, for any signs."""
+    import random
+    import re
+
+    import numpy as np
+
+    def plain(text):
+        words, slots = re.findall("[^ \t\n\x0b\x0c\r]+", text), collections.Counter()
+        for word in words:
+            shape = word[:40]
+            for pattern, sign in (("[a-zß-öø-ÿ]+", "a"), ("[A-ZÀ-ÖØ-Þ]+", "A"), ("[0-9]+", "0")):
+                shape = re.sub(pattern, sign, shape)
+            for x in (word.lower(), "\1" + shape):
+                slots[zlib.crc32(x.encode()) % quality_classifier.DIMS] += 1
+        again = len(words) - len(set(words))
+        slots = sorted(slots.items()) + ([(quality_classifier.DIMS + 1, again)] if again else [])
+        return ([s for s, _ in slots], [math.sqrt(n / len(words)) for _, n in slots]) if words else ([0], [1.0])
+
+    r = random.Random(3)
+    signs = "aAzZ09ßàÀÿÞ×÷ĀŸİ,.- \n\t\x0b\x1d\x85\xa0Ω中\U0001F600"
+    for text in ["", "É\x85a b\xa0c", "é" * 41 + "9 " + "x" * 100 + "A",
+                 *("".join(r.choice(signs) for _ in range(r.randint(1, 120))) for _ in range(500))]:
+        slots, values = quality_classifier.hashed(text)
+        wanted = plain(text)
+        assert slots.tolist() == wanted[0] and np.array_equal(values, wanted[1])
+    # Words of one outline share one shape, worked out once.
+    quality_classifier.hashed("Qwxa1, Tyuo2, Rtyi3,")
+    assert b"Aaaa0," in quality_classifier._SHAPE_SLOTS
