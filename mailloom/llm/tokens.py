@@ -13,6 +13,7 @@ import gc
 import os
 import re
 from array import array
+from codecs import charmap_decode
 
 MEMORY = 1_000_000
 LONG = 60
@@ -33,8 +34,11 @@ _CUTS = {
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: chr(b) for b in _SHOWN} | {
     b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_SHOWN_BYTES = "".join(_BYTES[b] for b in range(256))
 # Signs that end a word, none of them a letter, digit or blank.
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# Before the first word of a text; before the place of a text taken whole. Both are in _ODD.
+_HEAD, _TAKEN = "\x1c", "\x1d"
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -115,10 +119,15 @@ class Encoder:
 
 
 def _has_odd(text: str) -> bool:
-    """As a search for _ODD; in ASCII text by the few signs that it may hold."""
+    """As a search for _ODD; none of those can be printed, so most texts need no search."""
     if text.isascii():
         return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
-    return _ODD.search(text) is not None
+    return not text.replace("\n", "").isprintable() and _ODD.search(text) is not None
+
+
+def _is_letters(word: str) -> bool:
+    """One piece of letters that a tokenizer takes as they are."""
+    return word.isalpha() and (word.isascii() or _PLAIN.fullmatch(word) is not None)
 
 
 def _has_two_blanks(text: str) -> bool:
@@ -136,18 +145,17 @@ class _Words(dict):
         self.learn = learn
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.learn(word)
-        if len(word) <= LONG:
-            self[word] = ids
-        return ids
+        return self.learn(word)
 
 
 class ByteEncoder(Encoder):
     """The byte-level kind, whose words carry signs and case and so are met seldom.
 
-    A word is cut into letters, which are a word too, and the signs behind them before a lookup.
-    Both memories keep what is met once; when they are full they become the old ones, which stay
-    for lookups until the next time, so frequent words are not learned anew.
+    Texts come in groups, and each different word of a group is looked up once. A word is cut into
+    letters, which are a word too, and the signs behind them; words of letters alone and words that
+    need the tokenizer's own cuts are kept, so a memory of a size holds more of them. Both memories
+    keep what is met once; when they are full they become the old ones, which stay for lookups
+    until the next time, so frequent words are not learned anew.
     """
 
     def __init__(self, path: str):
@@ -155,17 +163,18 @@ class ByteEncoder(Encoder):
         self.words = _Words(self._word)
         self.old_words: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
+        self.taken: list[bytes] = []
+
+    def _full(self) -> bool:
+        return len(self.words) + len(self.pieces) >= MEMORY // 2
 
     def _merged(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isprintable():
-            shown = piece.replace(" ", _BYTES[32])
-        else:
-            shown = piece.encode().decode("latin-1").translate(_BYTES)
+        shown = charmap_decode(piece.encode(), "strict", _SHOWN_BYTES)[0]
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         ids = self.old_pieces.get(piece) or self._merged(piece)
-        if len(piece) <= LONG:
+        if len(piece) <= LONG and not self._full():
             self.pieces[piece] = ids
         return ids
 
@@ -174,30 +183,69 @@ class ByteEncoder(Encoder):
             return self.whole(given)
         return b"".join([self.pieces.get(p) or self._piece(p) for p in self.cut(given)])
 
+    def _bare(self, word: str, line: str = "") -> bytes:
+        """Ids of a word without a blank before it, or with the line end `line`."""
+        letters = word.rstrip(_SIGNS)
+        if not _is_letters(letters):
+            return self._cut(line + word)
+        parts = (line, letters, word[len(letters):])
+        return b"".join([self.pieces.get(p) or self._piece(p) for p in parts if p])
+
     def _word(self, word: str) -> bytes:
-        ids = self.old_words.get(word)
-        if ids is not None:
-            return ids
         letters = word.rstrip(_SIGNS)
-        if not letters.isalpha() or not (letters.isascii() or _PLAIN.fullmatch(letters)):
-            return self._cut(word if word[:1] == "\n" else " " + word)
-        signs = word[len(letters):]
-        if not signs:
-            return self._merged(" " + letters)
-        return self.words[letters] + (self.pieces.get(signs) or self._piece(signs))
+        if len(letters) < len(word) and _is_letters(letters):
+            signs = word[len(letters):]
+            return self.words[letters] + (self.pieces.get(signs) or self._piece(signs))
+        if word[:1] == "\n":
+            return self._bare(word[1:], "\n")
+        if word[:1] == _HEAD:
+            return self._bare(word[1:])
+        if word[:1] == _TAKEN:
+            return self.taken[int(word[1:])]
+        ids = self.old_words.get(word)
+        if ids is None:
+            ids = self._merged(" " + word) if _is_letters(word) else self._cut(" " + word)
+        if len(word) <= LONG and not self._full():
+            self.words[word] = ids
+        return ids
 
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _has_odd(text):
-            return self.whole(text)
-        if _has_two_blanks(text):  # blanks in a row are pieces of their own
-            return self._cut(text)
-        head, *words = text.replace("\n", " \n").split(" ")
-        if len(self.words) + len(self.pieces) > MEMORY // 2:
+    def _marked(self, text: str) -> str:
+        """The text as words with single blanks between, or the place of its ids in `taken`."""
+        if self._full():
             self.old_words, self.old_pieces = self.words, self.pieces
             self.words, self.pieces = _Words(self._word), {}
-        return (self._cut(head) if head else b"") + b"".join(map(self.words.__getitem__, words))
+        if _has_odd(text):
+            self.taken.append(self.whole(text))
+        elif _has_two_blanks(text):  # blanks in a row are pieces of their own
+            self.taken.append(self._cut(text))
+        else:
+            return _HEAD + text.replace("\n", " \n")
+        return f"{_TAKEN}{len(self.taken) - 1}"
+
+    def all_ids(self, texts: list[str]):
+        """Ids of the texts in a row as unsigned 32-bit numbers, and the number of each text's."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        self.taken = []
+        split = pc.split_pattern(pa.array([self._marked(t) for t in texts], pa.large_string()), " ")
+        places, words = split.offsets.to_numpy(), split.values.dictionary_encode()
+        del split
+        at = words.indices.to_numpy()
+        learned = list(map(self.words.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)))
+        self.taken = []
+        sizes = np.fromiter(map(len, learned), "i8", len(learned)) // 4
+        flat = np.frombuffer(b"".join(learned), "<u4")
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        # Each word's ids are copied from its place in `flat`.
+        source = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n)
+        source += np.arange(len(source), dtype="i4" if len(source) < 1 << 31 else "i8")
+        return flat.take(source), np.diff(ends[places])
+
+    def ids(self, text: str) -> bytes:
+        return self.all_ids([text])[0].tobytes()
 
 
 def encoder(path: str, kind: str) -> Encoder:

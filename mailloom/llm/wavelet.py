@@ -22,6 +22,7 @@ from mailloom.session import fresh_path
 MAGIC = b"WVMX0001"
 BLOCK = 512
 SHARD_BYTES = 8_000_000
+GROUP_CHARS = 6_000_000  # of the texts encoded at once
 
 
 class WaveletMatrix:
@@ -201,25 +202,35 @@ def write_tokens(df: DataFrame, tokenizer: str, folder: str | None = None, end_i
         import pandas as pd
 
         enc = encoder(tokenizer, "byte")
-        end = np.array([end_id], "<u4").tobytes()
         raw, docs, lengths, size, part, seq = [], [], [], 0, 0, 0
+        texts, chars = [], 0
+
+        def encode():
+            nonlocal texts, chars, size
+            ids, sizes = enc.all_ids(texts)
+            raw.append(np.insert(ids, np.cumsum(sizes), end_id))
+            lengths.extend((sizes + 1).tolist())
+            size += raw[-1].nbytes
+            texts, chars = [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(raw), "<u4")
+            ids = np.concatenate(raw)
             name = store_file(folder, f"shard-{part:06d}-{seq:04d}", write_shard(ids, docs, lengths))
             return pd.DataFrame({"part": [part], "seq": [seq], "file": [name],
                                  "n_tokens": [len(ids)], "n_docs": [len(docs)]})
 
         for pdf in batches:
             for doc, text, part in zip(pdf["doc_id"].tolist(), pdf["text"], pdf["part"].tolist()):
-                got = enc.ids(text or "") + end
-                raw.append(got)
                 docs.append(None if doc is None or doc != doc else int(doc))
-                lengths.append(len(got) // 4)
-                size += len(got)
+                texts.append(text or "")
+                chars += len(texts[-1]) + 16  # empty ones are not free
+                if chars >= GROUP_CHARS:
+                    encode()
                 if size >= 4 * shard_bytes:  # a range far larger than the mean
                     yield flush()
                     raw, docs, lengths, size, seq = [], [], [], 0, seq + 1
+        if texts:
+            encode()
         if docs:
             yield flush()
 

@@ -248,6 +248,35 @@ def test_byte_memory_holds_a_word_once():
         assert [w for w in kept if w in (word, " " + word)] == [word]
 
 
+def test_byte_group_looks_a_word_up_once():
+    """A group of texts has the ids of its texts one by one; words with signs are put together once."""
+    from mailloom.llm.tokens import ByteEncoder
+
+    enc = ByteEncoder(path("byte_bpe_50k.json"))
+    texts = ["Zuqarst, blorno.\nElse Zuqarst,", "", " Zuqarst, ", "\nZuqarst,\n(x) \x00 it's\n", "a  b\n\nc", "\x1c0 \x1d0 \x85",
+             "", "é, Ärgö,\nÄrgö, İx\xa0y", "Ärgö, 中文, é\n中文 «é», 12, x1, --", "\n", " ", "\n,", ",", "blorno, " * 50 + "Zuqarst,"]
+    asked, learn = collections.Counter(), enc.words.learn
+    enc.words.learn = lambda word: asked.update([word]) or learn(word)
+    ids, sizes = enc.all_ids(texts)
+    whole = [enc.whole(t) for t in texts]
+    assert ids.tobytes() == b"".join(whole) and sizes.tolist() == [len(w) // 4 for w in whole]
+    assert max(asked.values()) == asked["blorno,"] == asked["Zuqarst,"] == 1
+    assert "blorno" in enc.words and "blorno," not in enc.words
+
+
+def test_byte_memory_stays_bounded(monkeypatch):
+    """A group of more different words than the memory holds neither fills it further nor changes ids."""
+    from mailloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMORY", 40)
+    enc = tokens.ByteEncoder(path("byte_bpe_50k.json"))
+    for k in range(3):
+        texts = [" ".join(f"{chr(97 + i)}{chr(97 + j)}q{'z' * k} {i}  {j}," for i in range(9)) for j in range(9)]
+        texts += [t.replace("  ", " ") for t in texts]
+        assert enc.all_ids(texts)[0].tobytes() == b"".join(map(enc.whole, texts))
+        assert len(enc.words) + len(enc.pieces) <= 20 >= len(enc.old_words) + len(enc.old_pieces)
+
+
 def test_word_features_by_outline():
     """Slots of words are those of their lower case and of their shape, for any signs."""
     import random
